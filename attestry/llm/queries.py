@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, rules, urlgraph
+from . import fingerprints, minhash, mixing, rules, urlgraph
 from .common import table
 
 
+def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_forest": op1_minhash_forest,
     "op2_url_filters": op2_url_filters,
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_forest": minhash.op1_sql(),
     "op2_url_filters": urlgraph.op2_sql(),
     "op6_mix_sources": mixing.op6_sql(),
 }
