@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, rules, urlgraph
+from . import fingerprints, minhash, mixing, paragraphs, rules, urlgraph
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.score(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op7_paragraph_bands": op7_paragraph_bands,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -43,4 +48,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minhash_forest": minhash.op1_sql(),
     "op2_url_filters": urlgraph.op2_sql(),
     "op6_mix_sources": mixing.op6_sql(),
+    "op7_paragraph_bands": paragraphs.op7_sql(),
 }
