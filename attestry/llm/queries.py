@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, paragraphs, rules, urlgraph
+from . import crosspolytope, fingerprints, minhash, mixing, paragraphs, rules, suffixes, urlgraph
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_url_filters": op2_url_filters,
+    "op3_suffix_buckets": op3_suffix_buckets,
+    "op4_cross_polytope": op4_cross_polytope,
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_paragraph_bands": op7_paragraph_bands,
@@ -47,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_forest": minhash.op1_sql(),
     "op2_url_filters": urlgraph.op2_sql(),
+    "op4_cross_polytope": crosspolytope.op4_sql(),
     "op6_mix_sources": mixing.op6_sql(),
     "op7_paragraph_bands": paragraphs.op7_sql(),
 }
