@@ -63,14 +63,14 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     rows = forest_rows(classes, TREES, DEPTH)
 
     wanted = stage(rows.select("item").distinct().select(F.col("item.k").alias("k"), "item"), "wanted")
-    texts = d.withColumn("k", k).join(wanted.select("k").distinct(), "k", "left_semi").select("k", "text")
+    texts = d.withColumn("k", k).join(wanted.select("k").distinct().hint("merge"), "k", "left_semi").select("k", "text")
     sets = texts.mapInArrow(_signed(size, 0, True), "doc_id long, n long, digest binary, x array<long>")
     sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s")).dropDuplicates(["item"])
-    sets = stage(sets.join(wanted.select("item"), "item", "left_semi"), "sets")
+    sets = stage(sets.join(wanted.select("item").hint("merge"), "item", "left_semi"), "sets")
     components = near_components(rows, sets, percent)
 
-    found = classes.join(components, F.col("item") == F.col("node"), "left").select("digest", F.coalesce("component.k", "item.k").alias("component"))
-    out = signed.select("doc_id", "n", "digest").join(stage(found, "found"), "digest", "left")
+    found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").select("digest", F.coalesce("component.k", "item.k").alias("component"))
+    out = signed.select("doc_id", "n", "digest").join(stage(found, "found").hint("merge"), "digest", "left")
     own = F.when(F.col("n") > 0, F.when(F.col("component") < LAST, F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

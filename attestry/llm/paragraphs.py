@@ -77,15 +77,15 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = forest_rows(classes, bands, depth)
 
     wanted = stage(rows.select("item").distinct(), "wanted")
-    texts = d.withColumn("k", k).join(wanted.select(F.col("item.k").alias("k")).distinct(), "k", "left_semi").select("k", "text")
+    texts = d.withColumn("k", k).join(wanted.select(F.col("item.k").alias("k")).distinct().hint("merge"), "k", "left_semi").select("k", "text")
     sets = texts.mapInArrow(_signed(size, least, 0, True), f"{columns}, x array<long>")
     sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.col("paragraph").alias("p"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s"))
-    sets = stage(sets.join(wanted, "item", "left_semi").dropDuplicates(["item"]), "sets")
+    sets = stage(sets.join(wanted.hint("merge"), "item", "left_semi").dropDuplicates(["item"]), "sets")
     components = near_components(rows, sets, percent)
 
-    found = classes.join(components, F.col("item") == F.col("node"), "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
+    found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
     found = stage(found.select("digest", F.coalesce("component", "item").alias("c")), "found")
-    out = signed.select("doc_id", "paragraph", "n_words", "digest").join(found, "digest")
+    out = signed.select("doc_id", "paragraph", "n_words", "digest").join(found.hint("merge"), "digest")
     first = F.col("doc_id").eqNullSafe(F.col("component_doc_id")) & (F.col("paragraph") == F.col("component_paragraph"))
     out = out.select("doc_id", "paragraph", "n_words", F.when(F.col("c.k") < LAST, F.col("c.k")).alias("component_doc_id"), F.col("c.p").alias("component_paragraph"))
     return out.withColumn("removed", ~first)
