@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, fingerprints, minhash, mixing, paragraphs, rules, suffixes, urlgraph
+from . import bpe, crosspolytope, fingerprints, minhash, mixing, paragraphs, quotations, rules, suffixes, urlgraph
 from .common import table
 
 
@@ -38,6 +38,16 @@ def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.score(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_paragraph_bands": op7_paragraph_bands,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quotations": op9_quotations,
     "op10_quality_rules": op10_quality_rules,
 }
 
