@@ -148,19 +148,21 @@ def _chunks(column: pa.Array):
         yield rows, texts
 
 
-def _coded(shared, pattern: str, digest: bool):
+def _coded(shared, pattern: str, digest: bool, ids: bool):
     def run(batches):
         c = codec(shared.value, pattern)
         for batch in batches:
             for at, texts in _chunks(batch.column(1)):
                 coded = c.encode(texts)
-                key = batch.column(0)[at : at + len(texts)]
-                if digest:
-                    out = [pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in coded])]
-                    yield pa.RecordBatch.from_arrays([key, *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
+                out, names = [batch.column(0)[at : at + len(texts)]], ["doc_id"]
+                if ids:
                     ends = pa.array(np.cumsum([0, *map(len, coded)], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coded).astype(np.int32)))], ["doc_id", "ids"])
+                    out.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coded).astype(np.int32))))
+                    names.append("ids")
+                if digest:
+                    out += [pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded]), pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in coded])]
+                    names += ["n_tokens", "ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
@@ -177,7 +179,7 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
 def encode(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids`` of every row; a null text is empty and has no ids. Keys may repeat or be null."""
     shared = docs.sparkSession.sparkContext.broadcast(_read(rank_path))
-    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, False), "doc_id long, ids array<int>")
+    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, False, True), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -192,11 +194,11 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, key: str = "doc_id",
     return coded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row: encode, then decode the ids.
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, with ``ids`` the ids too: encode, then decode the ids.
 
     Null and empty texts have no tokens. Rows are independent: repeated rows give repeated results, an empty
     table gives an empty one, and other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_read(rank_path))
-    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, True, ids), f"doc_id long, {'ids array<int>, ' * ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,22 +25,30 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return done
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Every node with an edge upwards has one, and nothing hangs on it."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 0 AND up + down > 1").isEmpty()
+
+
+def connected_components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """``node, component`` for every node of ``links(a, b)``: the least node reachable.
 
-    Self-links, repeated and reversed links are welcome, nulls are not. Rounds double the reach, and their
-    state is written to shared storage. A node with many links is never gathered in one place.
+    Repeated and reversed links are welcome, self-links say nothing and nulls are not allowed. Rounds double
+    the reach, and their state is written to shared storage. A node with many links is never gathered in
+    one place. After ``rounds`` rounds, if given, a component may still be in several parts.
     """
     now = stage(links.filter(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "links")
-    mark = None
+    done = 0
     while True:
         half = _star(now, large=True)
         after = _star(half, large=False)
         discard(now, half)
-        now = after
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if seen == mark:
+        now, done = after, done + 1
+        if done == rounds or _settled(now):
             break
-        mark = seen
-    alone = links.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct().join(now.select(F.col("a").alias("node")).union(now.select("b")), "node", "left_anti")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).unionByName(alone.select("node", F.col("node").alias("component")))
+    tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    if done == rounds:  # the least parent of each, and no parent that has one
+        tops = tops.join(now.select(F.col("a").alias("node")), "node", "left_anti")
+        return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(tops)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

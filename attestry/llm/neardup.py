@@ -40,11 +40,10 @@ def forest_rows(items: DataFrame, trees: int, depth: int, width: int = 2) -> Dat
     prefix = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", t * cut + 1, cut)) for t in range(trees)])
     rows = items.select("item", "n", F.posexplode(prefix).alias("tree", "bucket"))
     shared = stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
-    rows = stage(rows.join(shared.hint("merge"), "bucket"), "rows")
-    sig = items.select("item", "sig").join(rows.select("item").distinct().hint("merge"), "item", "left_semi")
     start = F.col("tree") * cut
     deep = F.concat(F.col("sig").substr(start + cut + 1, F.lit(2**30)), F.col("sig").substr(F.lit(1), start))
-    return stage(rows.join(stage(sig, "sigs").hint("merge"), "item").select("bucket", "tree", "item", "n", "c", deep.alias("deep")), "forest")
+    rows = rows.join(shared.hint("merge"), "bucket").join(items.select("item", "sig").hint("merge"), "item")
+    return stage(rows.select("bucket", "tree", "item", "n", "c", deep.alias("deep")), "forest")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -70,17 +69,14 @@ def near_components(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     fits = 100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n")
     tested = stage(near.filter(fits).select(F.least("item", "o.item").alias("a"), F.greatest("item", "o.item").alias("b")).distinct(), "pairs")
     links = stage(_verified(tested, sets, percent), "links")
-    first = stage(connected_components(links, "a", "b"), "components")
+    first = stage(connected_components(links, "a", "b", rounds=2), "parts")  # parts of a component will do here
 
     placed = rows.select("bucket", "item", "n", "c").join(first.hint("merge"), F.col("item") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "item"))
     placed = stage(placed.select("bucket", "item", "n", "c", "comp"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).filter(F.col("lo") != F.col("hi")).select("bucket", "total")
     placed = stage(placed.join(stage(mixed, "mixed").hint("merge"), "bucket"), "unsettled")
-    small = stage(_across(placed.filter(F.col("c") <= FEW), sets, tested, percent), "rest")
-    more = _verified(small, sets, percent).unionByName(_by_blocks(placed.filter(F.col("c") > FEW), sets, percent))
+    more = _verified(_across(placed.filter(F.col("c") <= FEW), sets, tested, percent), sets, percent).unionByName(_by_blocks(placed.filter(F.col("c") > FEW), sets, percent))
     more = stage(more, "more")
-    if more.isEmpty():
-        return first
     return stage(connected_components(reduce(DataFrame.unionByName, [links, more]), "a", "b"), "components")
 
 
@@ -88,7 +84,7 @@ def _across(placed: DataFrame, sets: DataFrame, tested: DataFrame, percent: int)
     """Untested pairs between components of a bucket that may be near: no bound on their similarity rules them out."""
     own = sets.join(placed.select("item").distinct().hint("merge"), "item", "left_semi").select("item", F.explode("s").alias("h"))
     alone = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("item").alias("item")).filter("c = 1").groupBy("item").agg(F.count(F.lit(1)).alias("u"))
-    placed = placed.join(stage(alone, "alone").hint("merge"), "item", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    placed = placed.join(alone.hint("merge"), "item", "left").withColumn("u", F.coalesce("u", F.lit(0)))
     placed = stage(placed.select("bucket", "item", "n", "comp", "u"), "bounded")
     x, y = (placed.select("bucket", *[F.col(k).alias(k + p) for k in ("item", "n", "comp", "u")]) for p in "ab")
     common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))

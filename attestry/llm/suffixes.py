@@ -115,6 +115,11 @@ def cut_spans(starts: list[tuple[int, int]], size: int, length: int) -> list[tup
     return out
 
 
+def _with(columns: list[pa.Array], names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns, and those of the batch from its fifth on."""
+    return pa.RecordBatch.from_arrays([*columns, *batch.columns[4:]], [*names, *batch.schema.names[4:]])
+
+
 def _finish(length: int, texts: bool):
     def run(batches):
         for batch in batches:
@@ -129,7 +134,7 @@ def _finish(length: int, texts: bool):
                 kept = b"".join([*kept, data[at:]])
                 rows.append((doc, len(data), sum(b - a for a, b in spans), len(spans), kept.decode(errors="ignore") if texts else hashlib.sha256(kept).hexdigest()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "out"])
+                yield _with([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "out"], batch)
 
     return run
 
@@ -170,17 +175,19 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     return ranges.unionByName(done).unionByName(last)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, texts: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (or ``kept`` with ``texts``).
 
     A byte goes when a string of ``length`` bytes that covers it also starts elsewhere, in any document or
     the same one; strings are judged on the input. Null texts are empty; texts shorter than ``length`` keep
     everything. Rows with equal keys are told apart by their texts, and rows equal in both repeat each
-    other. With ``texts``, a character of which a byte went is dropped whole.
+    other. With ``texts``, a character of which a byte went is dropped whole. ``keep`` names columns to return
+    as well.
     """
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    starts = repeated_starts(d, length).groupBy("doc", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    starts = repeated_starts(d.select("doc", "v", "text"), length).groupBy("doc", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     starts = stage(starts.select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "lo", "hi"), "starts")
-    joined = d.join(starts, (F.col("doc") == F.col("_doc")) & (F.col("v") == F.col("_v")), "left").select(F.when(F.col("doc") < LAST, F.col("doc")), "text", "lo", "hi")
-    out = "kept" if texts else "kept_sha256"
-    return joined.mapInArrow(_finish(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, out string").withColumnRenamed("out", out)
+    joined = d.join(starts, (F.col("doc") == F.col("_doc")) & (F.col("v") == F.col("_v")), "left").select(F.when(F.col("doc") < LAST, F.col("doc")), "text", "lo", "hi", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, out string", *[f"`{c}` {kinds[c]}" for c in keep]])
+    return joined.mapInArrow(_finish(length, texts), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", *keep)
