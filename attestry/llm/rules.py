@@ -18,22 +18,26 @@ from .common import WS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 _SYMBOLS = "*#$%&|@^~<>{}[]\\/_=+`"
+#: Statistics stand in columns of this prefix, beside any columns of the input.
+_OWN = "_attestry_"
 FEATURES = ("n_chars", "n_words", "word_chars", "upper", "digits", "symbols", "bangs", "stops", "distinct", "n_lines", "distinct_lines", "line_chars")
 
 
 def statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the statistics of ``text``; null counts as the empty text, whose statistics are 0."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = df.select(*keep, t.alias("_t"), F.array_remove(F.split(t, WS + "+"), "").alias("_w"), F.split(t, "\n").alias("_l"))
-    d = d.withColumns({"n_chars": F.length("_t"), "n_words": F.size("_w"), "n_lines": F.size("_l")})
-    per = lambda a, n: a / F.greatest(F.col(n), F.lit(1))
-    share = lambda chars: per(F.col("n_chars") - F.length(F.translate("_t", chars, "")), "n_chars")
+    t, w, n_lines = (f"{_OWN}{k}" for k in ("text", "words", "lines"))
+    q = {k: f"{_OWN}{k}" for k in FEATURES}
+    d = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(t))
+    d = d.select(*keep, t, F.array_remove(F.split(t, WS + "+"), "").alias(w), F.split(t, "\n").alias(n_lines))
+    d = d.withColumns({q["n_chars"]: F.length(t), q["n_words"]: F.size(w), q["n_lines"]: F.size(n_lines)})
+    per = lambda a, n: a / F.greatest(F.col(q[n]), F.lit(1))
+    share = lambda chars: per(F.col(q["n_chars"]) - F.length(F.translate(t, chars, "")), "n_chars")
     out = {
-        "n_chars": F.col("n_chars"), "n_words": F.col("n_words"), "word_chars": per(F.col("n_chars"), "n_words"), "upper": share(_UPPER), "digits": share("0123456789"),
-        "symbols": share(_SYMBOLS), "bangs": share("!?"), "stops": share(".,;:"), "distinct": per(F.size(F.array_distinct("_w")), "n_words"), "n_lines": F.col("n_lines"),
-        "distinct_lines": per(F.size(F.array_distinct("_l")), "n_lines"), "line_chars": per(F.col("n_chars"), "n_lines"),
+        "n_chars": F.col(q["n_chars"]), "n_words": F.col(q["n_words"]), "word_chars": per(F.col(q["n_chars"]), "n_words"), "upper": share(_UPPER), "digits": share("0123456789"),
+        "symbols": share(_SYMBOLS), "bangs": share("!?"), "stops": share(".,;:"), "distinct": per(F.size(F.array_distinct(w)), "n_words"), "n_lines": F.col(q["n_lines"]),
+        "distinct_lines": per(F.size(F.array_distinct(n_lines)), "n_lines"), "line_chars": per(F.col(q["n_chars"]), "n_lines"),
     }
-    return d.select(*keep, *[out[k].cast("double").alias(k) for k in FEATURES])
+    return d.select(*keep, *[out[k].cast("double").alias(q[k]) for k in FEATURES])
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ class Rules:
         for weight, bounds in self.rules:
             fits = F.lit(True)
             for name, above, value in bounds:
-                fits = fits & (F.col(name) > value if above else F.col(name) <= value)
+                fits = fits & (F.col(_OWN + name) > value if above else F.col(_OWN + name) <= value)
             total = total + F.when(fits, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
@@ -140,11 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = known.count()
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("fit:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
     some = known.filter(draw < min(1.0, limit / max(n, 1)))  # a bounded number of pairs, whatever the input
-    rows = statistics(docs.join(F.broadcast(some), key), text, [key, "_y"]).orderBy(key, *FEATURES).toPandas()
-    return fit(rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float))
+    rows = statistics(docs.select(key, text).join(F.broadcast(some), key), text, [key, "_y"]).orderBy(key, *[_OWN + k for k in FEATURES]).toPandas()
+    return fit(rows[[_OWN + k for k in FEATURES]].to_numpy(float), rows["_y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Rules, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row, null and empty texts included."""
-    scored = statistics(docs, text, [key, *keep]).withColumn("_s", model.column())
-    return scored.select(F.col(key).alias("doc_id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col("_s").alias("score"), F.when(F.col("_s") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *keep)
+    scored = statistics(docs, text, [key, *keep]).withColumn(_OWN + "score", model.column())
+    return scored.select(F.col(key).alias("doc_id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col(_OWN + "score").alias("score"), F.when(F.col(_OWN + "score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *keep)
