@@ -1 +1 @@
-
+"""Scalar functions: text, sentences, quantities and stems."""
