@@ -60,7 +60,7 @@ def render_markdown(total: dict, examples: list[dict], judge: str, policy: str)
     if examples:
         lines += ["## Least supported", ""]
         for r in examples:
-            lines += [f"- **{r['memory']}**", f"  {r['why']}", *([f"  closest: “{r['evidence']}”"] if r["evidence"] else []), ""]
+            lines += [f"* {r['memory']}", f"  {r['why']}", *([f"  closest: “{r['evidence']}”"] if r["evidence"] else []), ""]
     return "\n".join([*lines, f"Judge {judge}, policy {policy}.", ""])
 
 

@@ -12,8 +12,9 @@ NAN = float("nan")
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     """``struct<lo,hi>``: the Wilson interval of a share; NaN where nothing was counted."""
-    p, d = k / n, 1 + z * z / n
-    middle, half = (p + z * z / (2 * n)) / d, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
+    share, pull = k / n, F.lit(z**2) / n
+    middle = (share + pull / 2) / (pull + 1)
+    half = F.sqrt(pull * (share - share * share + pull / 4)) / (pull + 1)
     empty = F.coalesce(n == 0, F.lit(True))
     at = lambda x: F.when(empty, F.lit(NAN)).otherwise(x)
     return F.struct(at(F.greatest(F.lit(0.0), middle - half)).alias("lo"), at(F.least(F.lit(1.0), middle + half)).alias("hi"))

@@ -34,7 +34,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# ------------------------------------------------------------------ SQL building blocks
+# SQL building blocks
 
 
 def _list(values) -> str:
@@ -58,7 +58,7 @@ def _r(c: Column | str) -> Column:
     return F.round(c, 9)
 
 
-# ------------------------------------------------------------------ text functions
+# text functions
 
 
 @query(f"SELECT doc_id, md5({_ws('text')}) AS normal, len({_ws('text')})::INT AS n FROM documents")
@@ -108,7 +108,7 @@ def search_terms(spark, d):
     return search.query_terms(_t(spark, d, "benchmark"), "item_id", "text")
 
 
-# ------------------------------------------------------------------ verification
+# verification
 
 
 def labelled(spark, d) -> DataFrame:
@@ -208,7 +208,7 @@ def status_table(spark, d):
     return both[0].unionByName(both[1])
 
 
-# ------------------------------------------------------------------ metrics
+# metrics
 
 _AUROC = lambda by: f"""WITH {_PAIRS}, r AS (SELECT *, label = 'S' AS pos, rank() OVER (PARTITION BY {by} ORDER BY support) + (count(*) OVER (PARTITION BY {by}, support) - 1) / 2.0 AS rk FROM s),
 g AS (SELECT {by} AS grp, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg, sum(rk) FILTER (WHERE pos) AS w FROM r GROUP BY 1)"""
@@ -281,12 +281,12 @@ _STEPS = "[0.1, 0.2, 0.3, 0.4, 0.5]"
 
 @query(f"WITH {_PAIRS}, x AS (SELECT *, unnest({_STEPS})::DOUBLE AS threshold FROM s) SELECT threshold, count(*) FILTER (WHERE label = 'S' AND support >= threshold) AS right_, count(*) FILTER (WHERE label = 'N' AND support >= threshold) AS false_ FROM x GROUP BY threshold")
 def threshold_sweep(spark, d):
-    x = scored(spark, d).withColumn("threshold", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.4, 0.5)))))
+    x = scored(spark, d).withColumn("threshold", F.explode(F.array(*map(F.lit, [k / 10 for k in range(1, 6)]))))
     n = lambda k: F.count(F.when((F.col("label") == k) & (F.col("support") >= F.col("threshold")), 1))
     return x.groupBy("threshold").agg(n("S").alias("right_"), n("N").alias("false_"))
 
 
-# ------------------------------------------------------------------ event log
+# event log
 
 
 def _events(spark, d) -> DataFrame:
@@ -313,7 +313,7 @@ def chain_verify_tampered(spark, d):
     return chain.verify(log.withColumn("payload", F.when(F.col("seq") == 500, "{}{}").otherwise(F.col("payload"))))
 
 
-# ------------------------------------------------------------------ facts
+# facts
 
 
 def _orders(spark, d) -> DataFrame:
@@ -382,7 +382,7 @@ def apply_writes(spark, d):
     return facts.apply_writes(rows).select("arrival", "subject", "status", "duplicate_of", "superseded_by")
 
 
-# ------------------------------------------------------------------ search
+# search
 
 
 @query(f"""WITH {_TERMS}, dw AS MATERIALIZED (SELECT doc_id AS rowid, {_words('text')} AS w FROM documents), n AS MATERIALIZED (SELECT rowid, len(w) AS dl FROM dw),
