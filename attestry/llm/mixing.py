@@ -35,7 +35,7 @@ def sainte_lague(df: DataFrame, group: list[str], order: list[str], votes: str,
     seat = F.when(add, F.col("_q") + F.col("_k")).otherwise(F.col("_q") - F.col("_k") + 1)
     quotient = F.col("_v") / (2 * seat - 1)
     ranked = turn.withColumn("_s", F.when(add, -quotient).otherwise(quotient))
-    rank = F.row_number().over((Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_s", *order, "_k"))
+    rank = F.row_number().over((Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_s", *[F.when(add, F.col(c)) for c in order], *[F.when(~add, F.col(c)).desc() for c in order]))
     won = ranked.withColumn("_r", rank).filter(F.col("_r") <= F.abs("_d")).groupBy(*keys).agg(F.sum(F.signum("_d")).cast("long").alias("_e"))
     return d.join(won, keys, "left").withColumn(out, F.col("_q") + F.coalesce("_e", F.lit(0))).drop("_v", "_t", "_n", "_q", "_d", "_e")
 
@@ -103,7 +103,7 @@ def op6_sql(block: int = 16, shard_docs: int = 2000, seed: str = "mix-1") -> str
   CASE WHEN t_ > 0 THEN ceil(v_ / t_ * n_) ELSE 0 END + 2 AS m_ FROM {name}_b),
 {name}_d AS (SELECT {g}{order}, v_, q_, d_, unnest(range(1, (CASE WHEN d_ > 0 AND v_ > 0 THEN least(m_, d_) WHEN d_ < 0 THEN least(m_, -d_, q_) ELSE 0 END)::BIGINT + 1)) AS k_ FROM {name}_c),
 {name}_e AS (SELECT *, CASE WHEN d_ > 0 THEN -(v_ / (2 * (q_ + k_) - 1)) ELSE v_ / (2 * (q_ - k_ + 1) - 1) END AS s_ FROM {name}_d),
-{name}_f AS (SELECT *, row_number() OVER ({part} ORDER BY s_, {order}, k_) AS r_ FROM {name}_e),
+{name}_f AS (SELECT *, row_number() OVER ({part} ORDER BY s_, CASE WHEN d_ > 0 THEN {order} END, CASE WHEN d_ <= 0 THEN {order} END DESC) AS r_ FROM {name}_e),
 {name}_g AS (SELECT {g}{order}, sum(sign(d_))::BIGINT AS e_ FROM {name}_f WHERE r_ <= abs(d_) GROUP BY ALL),
 {name} AS (SELECT c.*, q_ + coalesce(e_, 0) AS got FROM {name}_c c LEFT JOIN {name}_g g USING ({g}{order}))"""
 
