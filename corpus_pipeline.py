@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, minhash, mixing, rules, suffixes
 from attestry.llm.common import stage, table
 from attestry.llm.minhash import LAST
 
-_KEY = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k")
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_k")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of each near-duplicate group; rows with equal ids and texts count once."""
-    kept = stage(minhash.near_dedup(docs).filter("kept").select(_KEY).distinct(), "kept")
-    stay = docs.withColumn("_k", _KEY).join(kept.hint("merge"), "_k", "left_semi")
+    kept = stage(minhash.near_dedup(docs).filter("kept").select(_key()).distinct(), "kept")
+    stay = docs.withColumn("_k", _key()).join(kept.hint("merge"), "_k", "left_semi")
     return stay.dropDuplicates(["_k", "text"]).select(*docs.columns)
 
 
@@ -35,10 +37,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give each document as many copies as the mix takes of its words, rounded; none is a copy too few or many."""
-    taken = mixing.mix(docs).groupBy(_KEY).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    taken = mixing.mix(docs).groupBy(_key()).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int")
     taken = stage(taken.select("_k", copies.alias("_n")).filter("_n > 0"), "copies")
-    rows = docs.withColumn("_k", _KEY).join(taken.hint("merge"), "_k")
+    rows = docs.withColumn("_k", _key()).join(taken.hint("merge"), "_k")
     return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
