@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Turns of a conversation that are searched together.
+BLOCK = 4096
 _MARKS = "\\A\\s*((?:>\\s?)+)"
 
 
@@ -36,6 +38,23 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(lines, start, add)
 
 
+def _latest(said: DataFrame, asked: DataFrame) -> DataFrame:
+    """``c, h, turn, from``: the latest turn before ``turn`` that said ``h``, without pairing turns up.
+
+    Both sides are put in order of turns, in blocks of ``BLOCK`` turns; a block starts with what the blocks
+    before it end with, so that words repeated at very many turns are not one task's work.
+    """
+    rows = said.select("c", "h", F.col("from").alias("turn"), "from").unionByName(asked.withColumn("from", F.lit(None).cast(dict(said.dtypes)["from"])))
+    rows = rows.filter("turn IS NOT NULL").withColumn("block", F.floor(F.col("turn") / BLOCK))
+    ends = rows.groupBy("c", "h", "block").agg(F.max("from").alias("end"))
+    before = F.max("end").over(Window.partitionBy("c", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("c", "h", "block", before.alias("earlier")).filter("earlier IS NOT NULL")
+    order = Window.partitionBy("c", "h", "block").orderBy("turn", F.col("from").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumns({"_asks": F.col("from").isNull(), "near": F.max("from").over(order)}).filter("_asks")
+    near = near.join(ends, ["c", "h", "block"], "left").select("c", "h", "turn", F.coalesce("near", "earlier").alias("from"))
+    return near.filter(F.col("from").isNotNull())
+
+
 def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: ``conv_id, turn, role, body, n_quotes, depth, n_linked, reply_to, position``.
 
@@ -57,7 +76,8 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     said = said.select("c", F.col("turn").alias("from"), F.md5(normalised(F.col("p"))).alias("h"), normalised(F.col("p")).alias("n")).filter("n <> ''").select("c", "from", "h").distinct()
     asked = m.select(ckey, "turn", "id", F.posexplode("quotes").alias("k", "q"))
     whole = asked.select("c", "turn", "id", "k", F.col("q.level").alias("level"), F.explode(F.array_distinct(F.concat(F.array("q.body"), F.split("q.body", "\n+")))).alias("p"))
-    found = whole.select("c", "turn", "id", "k", "level", F.md5(normalised(F.col("p"))).alias("h")).join(said, ["c", "h"]).filter(F.col("from") < F.col("turn"))
+    asked = whole.select("c", "turn", "id", "k", "level", F.md5(normalised(F.col("p"))).alias("h"))
+    found = asked.join(_latest(said, asked.select("c", "h", "turn").distinct()), ["c", "h", "turn"])
     best = found.groupBy("id", "k", "level").agg(F.max("from").alias("from"))
     links = best.groupBy("id").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct(F.col("level"), (-F.col("from")).alias("from"))).alias("b"))
     links = links.select("id", "n_linked", (-F.col("b.from")).alias("quoted"))

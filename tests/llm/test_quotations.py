@@ -1,4 +1,6 @@
-from attestry.llm.quotations import link_quotations
+import random
+
+from attestry.llm.quotations import _latest, link_quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string, body string"
 
@@ -32,3 +34,14 @@ def test_odd_rows(spark):
     assert got[None, 1, "b"].reply_to == 0 and got[None, 1, "b"].n_linked == 1
     assert got[3, 5, None].depth == 50
     assert run(spark, [])[1] == 0
+
+
+def test_latest_across_blocks(spark):
+    rng = random.Random(4)
+    said = sorted({(rng.choice("ab"), rng.randrange(3), rng.randrange(30_000)) for _ in range(60)})
+    asked = sorted({(rng.choice("abc"), rng.randrange(3), rng.randrange(30_000)) for _ in range(200)} | {(c, h, t) for c, h, t in said[:20]})
+    a = spark.createDataFrame([(c, str(h), t) for c, h, t in said], "c string, h string, from long")
+    b = spark.createDataFrame([(c, str(h), t) for c, h, t in asked], "c string, h string, turn long")
+    got = {(r["c"], r["h"], r["turn"]): r["from"] for r in _latest(a, b).collect()}
+    want = {(c, str(h), t): max(u for x, y, u in said if (x, y) == (c, h) and u < t) for c, h, t in asked if any((x, y) == (c, h) and u < t for x, y, u in said)}
+    assert got == want and len(want) > 50
