@@ -152,3 +152,14 @@ def score(docs: DataFrame, model: Rules, key: str = "doc_id", text: str = "text"
     """``doc_id, held_out, score, predicted`` for every row, null and empty texts included."""
     scored = statistics(docs, text, [key, *keep]).withColumn(_OWN + "score", model.column())
     return scored.select(F.col(key).alias("doc_id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col(_OWN + "score").alias("score"), F.when(F.col(_OWN + "score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *keep)
+
+
+def accept(docs: DataFrame, model: Rules, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score`` predicts as 1.
+
+    The row number keeps the filter above the statistics: below them, every bound of every rule would work
+    its statistic out again.
+    """
+    row, others = _OWN + "row", tuple(c for c in docs.columns if c != key)
+    scored = score(docs, model, key, text, others).withColumn(row, F.monotonically_increasing_id())
+    return scored.filter((F.col("predicted") == 1) & (F.col(row) >= 0)).withColumnRenamed("doc_id", key).select(*docs.columns)

@@ -16,9 +16,7 @@ def _key() -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the rule ensemble rejects."""
-    model = rules.train(docs, table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return rules.score(docs, model, keep=others).filter("predicted = 1").select(*docs.columns)
+    return rules.accept(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
