@@ -6,13 +6,12 @@ are tuned so that a pair at the threshold collides in one of them but once in te
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from . import shingles as sh
 from .common import stage
 from .minhash import LAST
@@ -22,13 +21,7 @@ LEAST, SIZE, PERCENT = 20, 5, 80
 
 
 def tune(threshold: float, miss: float = 1e-4, most: int = 48) -> tuple[int, int]:
-    """Bands and rows: the longest rows whose number of bands, for that miss rate, stays within ``most`` hashes."""
-    best = (1, 1)
-    for rows in range(1, most):
-        bands = math.ceil(math.log(miss) / math.log(1 - threshold**rows))
-        if bands * rows <= most:
-            best = (bands, rows)
-    return best
+    return minhash.tune(threshold, miss, most)
 
 
 def _signed(size: int, least: int, hashes: int, sets: bool):

@@ -20,8 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group; rows with equal ids and texts count once."""
-    kept = stage(minhash.near_dedup(docs).filter("kept").select(_key()).distinct(), "kept")
+    """Keep the document with the least id of each group of near copies, by five-word shingles at 0.8.
+
+    Rows with equal ids and texts count once.
+    """
+    kept = stage(minhash.near_dedup(docs, size=5, percent=80).filter("kept").select(_key()).distinct(), "kept")
     stay = docs.withColumn("_k", _key()).join(kept.hint("merge"), "_k", "left_semi")
     return stay.dropDuplicates(["_k", "text"]).select(*docs.columns)
 

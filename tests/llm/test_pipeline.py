@@ -10,7 +10,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from attestry.llm import bpe_native, mixing, rules
+from attestry.llm import bpe_native, minhash, mixing, rules
 
 from .test_near_duplicates import components, shingle_set
 
@@ -83,6 +83,28 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == sorted(want) and len(got) > 50
 
 
+def test_near_copies_of_the_stage(spark):
+    """Copies from 0.80 on by five words whose edits stand together, which three words at 0.85 do not link."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 60, 3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        edited = [*base[:50], *(f"e{k}" for k in range(7)), *base[57:]]  # 89 of 111 shingles
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[:84])), (i + 2, " ".join(edited))]
+    texts = [t for _, t in rows]
+    top = components([shingle_set(t, 5) for t in texts], 80)
+    assert top == [k - k % 3 for k in range(60)] and components([shingle_set(t, 3) for t in texts], 85) != top
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 60, 3))
+
+
+def test_forest_at_the_threshold():
+    assert minhash.tune(0.85) == (24, 5)
+    for threshold in (0.8, 0.85):
+        trees, depth = minhash.tune(threshold)
+        assert (1 - threshold**depth) ** trees <= 1e-6
+
+
 def test_native_fold(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
