@@ -1,7 +1,8 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
 
 Paragraphs are lines of at least ``LEAST`` words; shorter ones are headings and notices, not passages. Bands
-are tuned so that a pair at the threshold collides in one of them but once in ten thousand.
+are tuned so that a pair at the threshold collides in one of them but once in ten thousand. Passages that
+start or end inside lines, or run over many short ones, are found by runs of words (see repeated_passages).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .minhash import LAST
 from .neardup import forest_rows, near_components
 
 LEAST, SIZE, PERCENT = 20, 5, 80
+#: Words of a passage, and of the run it is filed under.
+PASSAGE, RUN = 50, 20
 
 
 def tune(threshold: float, miss: float = 1e-4, most: int = 48) -> tuple[int, int]:
@@ -84,6 +87,71 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return out.withColumn("removed", ~first)
 
 
+def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` word hashes from each position on; the last n - 1 positions have none."""
+    out, have, power, done = np.zeros(len(h) - n + 1, np.uint64), h, 1, 0
+    while power <= n:
+        if n & power:
+            out = sh.mix(out * sh._M[2] + have[done : done + len(out)])
+            done += power
+        have = sh.mix(have[:-power] * sh._M[0] + have[power:])
+        power *= 2
+    return out
+
+
+def _filed(passage: int, run: int):
+    span = passage - run + 1
+
+    def filed(batches):
+        for batch in batches:
+            for rows, data, bounds in sh.text_chunks(batch, 1):
+                start, _, h = sh.words(data, bounds)
+                if len(h) < passage:
+                    continue
+                first = np.searchsorted(start, bounds)
+                room = np.maximum(np.diff(first) - passage + 1, 0)
+                if not room.sum():
+                    continue
+                key = _run_hashes(h, run)
+                at = np.repeat(first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+                least = np.lib.stride_tricks.sliding_window_view(key, span).argmin(1)
+                at = np.unique(at + least[at])
+                doc = np.searchsorted(first, at, "right") - 1
+                # overlapping runs of the same words (one word over and over): enough of them that no passage is without one
+                fresh = np.append(True, (key[at[1:]] != key[at[:-1]]) | (doc[1:] != doc[:-1]) | (np.diff(at) >= run))
+                head = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+                block = (at - head) // max(span - run, 1)
+                stay = fresh | np.append(True, block[1:] != block[:-1]) | np.append(fresh[1:], True)
+                at, doc = at[stay], doc[stay]
+                other = np.zeros(len(at), np.uint64)
+                for k in range(run):
+                    other = sh.mix(other * sh._M[1] + h[at + k])
+                ids = batch.column(0)[rows.start : rows.stop].take(pa.array(doc))
+                columns = [ids, pa.array(at - first[doc], pa.int64()), pa.array(key[at].view(np.int64)), pa.array(other.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "word", "x", "y"])
+
+    return filed
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """One row per run of ``run`` words that stands for repeated passages, wherever lines begin and end.
+
+    ``doc_id, word`` (its first word in the text, from 0), ``n_words, component_doc_id, component_word`` (the
+    first place of the same words), ``removed`` (it isn't that one). Every ``passage`` words in a row are filed
+    under the run with the least hash that they hold, so equal passages are filed alike: each passage of that
+    many words that occurs elsewhere, in any document or the same one, holds a run that has a row. Where a
+    run repeats over itself, only as many have rows as that takes. Words are compared as in shingles.
+    Texts with fewer words, and so null ones, have no row; null keys count as the greatest.
+    """
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    filed = stage(d.mapInArrow(_filed(passage, run), "doc_id long, word long, x long, y long"), "runs")
+    classes = filed.groupBy("x", "y").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.col("word").alias("p"))).alias("c"), F.count(F.lit(1)).alias("copies"))
+    found = stage(classes.filter("copies > 1").select("x", "y", "c"), "found")
+    out = filed.join(found.hint("merge"), ["x", "y"])
+    out = out.select("doc_id", "word", F.lit(run).cast("long").alias("n_words"), F.when(F.col("c.k") < LAST, F.col("c.k")).alias("component_doc_id"), F.col("c.p").alias("component_word"))
+    return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("component_doc_id")) & (F.col("word") == F.col("component_word"))))
+
+
 def without_repeats(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed paragraphs cut out of their texts, which need distinct keys."""
     cut = repeats.filter("removed").groupBy(F.col("doc_id").alias("_k")).agg(F.collect_set("paragraph").alias("_cut"))
@@ -91,13 +159,13 @@ def without_repeats(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", te
     return docs.join(cut, F.col(key) == F.col("_k"), "left").withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept)).drop("_k", "_cut")
 
 
-def op7_sql() -> str:
+def op7_sql(least: int = LEAST) -> str:
     """All pairs by an inverted index, for DuckDB on ``documents``."""
     return f"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS paragraph FROM documents),
 w AS MATERIALIZED (SELECT doc_id * 1000000 + paragraph AS id, doc_id, paragraph, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM l),
-p AS MATERIALIZED (SELECT id, doc_id, paragraph, len(w)::BIGINT AS n_words FROM w WHERE len(w) >= {LEAST}),
-s AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+{SIZE - 1}], ' ') for i in range(1, len(w) - {SIZE - 2})]) AS g FROM w WHERE len(w) >= {LEAST}),
+p AS MATERIALIZED (SELECT id, doc_id, paragraph, len(w)::BIGINT AS n_words FROM w WHERE len(w) >= {least}),
+s AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i+{SIZE - 1}], ' ') for i in range(1, len(w) - {SIZE - 2})]) AS g FROM w WHERE len(w) >= {least}),
 n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id),
 i AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
 k AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= {PERCENT} * (x.n + y.n - i)),

@@ -38,6 +38,10 @@ def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_paragraph_bands": op7_paragraph_bands,
+    "op7_passages": op7_passages,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quotations": op9_quotations,
     "op10_quality_rules": op10_quality_rules,

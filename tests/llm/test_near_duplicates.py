@@ -89,6 +89,39 @@ def test_paragraphs_against_all_pairs(spark):
     assert kept == {i: t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in enumerate(texts)}
 
 
+def test_passages_against_all_windows(spark):
+    """Each 50 words that occur twice hold a run with a row, and each row's words occur twice."""
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    shared = [new(rng.randrange(50, 90)) for _ in range(6)]
+    texts = []
+    for _ in range(30):
+        words = new(rng.randrange(0, 150))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(shared)
+        texts.append("".join(w.upper() + rng.choice([" "] * 12 + ["\n", "\t"]) for w in words))
+    texts += [None, "", "x " * 300, "a b c " * 60, " ".join(new(17) * 9), " ".join(shared[0]), "\n".join(shared[1]), " ".join(shared[2][:49])]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, word int")
+    words = [(t or "").lower().split() for t in texts]
+    got = [tuple(r) for r in paragraphs.repeated_passages(docs).collect()]
+    at = lambda i, p, n: tuple(words[i][p : p + n])
+    places = {}
+    for i, w in enumerate(words):
+        for p in range(len(w) - 49):
+            places.setdefault(at(i, p, 50), []).append((i, p))
+    rows = {(i, p) for i, p, *_ in got}
+    assert len(rows) == len(got) > 20
+    again = [x for v in places.values() if len(v) > 1 for x in v]
+    assert len(again) > 200 and all(any((i, q) in rows for q in range(p, p + 31)) for i, p in again)
+    for i, p, n, j, q, removed in got:
+        assert n == 20 and at(i, p, 20) == at(j, q, 20) and removed == ((i, p) != (j, q)) and (j, q) in rows
+        assert removed or sum(at(a, b, 20) == at(i, p, 20) for a, b in rows) > 1
+    null = spark.createDataFrame([(None, " ".join(shared[0])), (4, " ".join(shared[0]))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_doc_id, r.removed) for r in paragraphs.repeated_passages(null).collect()} == {(4, 4, False), (None, 4, True)}
+    assert paragraphs.repeated_passages(docs.limit(0)).collect() == []
+
+
 def test_bands():
     bands, rows = paragraphs.tune(0.8)
     assert (1 - 0.8**rows) ** bands < 1e-4 and bands * rows <= 48
