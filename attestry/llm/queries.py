@@ -42,6 +42,10 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"), least=paragraphs.SIZE)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_paragraph_bands": op7_paragraph_bands,
     "op7_passages": op7_passages,
+    "op7_lines": op7_lines,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quotations": op9_quotations,
     "op10_quality_rules": op10_quality_rules,
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_cross_polytope": crosspolytope.op4_sql(),
     "op6_mix_sources": mixing.op6_sql(),
     "op7_paragraph_bands": paragraphs.op7_sql(),
+    "op7_lines": paragraphs.op7_sql(paragraphs.SIZE),
 }

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from attestry.llm import crosspolytope, minhash, neardup, paragraphs
+from attestry.llm import crosspolytope, minhash, neardup, paragraphs, queries
 from attestry.llm.components import connected_components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -122,6 +122,22 @@ def test_passages_against_all_windows(spark):
     assert paragraphs.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_short_lines(spark, tmp_path):
+    """The query for lines of five words or more, by all pairs."""
+    rng = random.Random(11)
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in range(1, 26) for _ in range(2)]
+    pool += [" ".join(x.split()[:-1] + ["end"]) for x in pool if len(x.split()) > 13]
+    lines = [(i, p, rng.choice(pool)) for i in range(40) for p in range(4)]
+    docs = [(i, "\n".join(x for j, _, x in lines if j == i)) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [shingle_set(x, 5, 5) for *_, x in lines]
+    root = components(sets, 80)
+    want = {(*lines[k][:2], *lines[root[k]][:2], root[k] != k) for k in range(len(lines)) if sets[k] and root.count(root[k]) > 1}
+    got = queries.QUERIES["op7_lines"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.paragraph, r.component_doc_id, r.component_paragraph, r.removed) for r in got} == want
+    assert any(r.n_words == 5 for r in got) and queries.ORACLE_SQL["op7_paragraph_bands"] == paragraphs.op7_sql(20)
+
+
 def test_bands():
     bands, rows = paragraphs.tune(0.8)
     assert (1 - 0.8**rows) ** bands < 1e-4 and bands * rows <= 48
