@@ -1,7 +1,7 @@
 """Suffix-array dedup by bucket-pointer refinement over sampled suffixes.
 
 Every window of ``length`` bytes is filed under one suffix: the position with the least q-gram hash among
-its first ``SPAN`` ones. Equal windows are filed alike, so only these suffixes, some 1 in 64, are sorted.
+its first ``SPAN`` ones, or as many as have their q-gram inside the window. Equal windows are filed alike, so only these suffixes, some 1 in 64, are sorted.
 Their initial buckets are the q-grams that all windows of a suffix share. Buckets of one drop out; the rest
 are refined by the identifiers of what stands at earlier and later offsets: first of the whole run of
 windows, then of blocks of ``STEP`` windows, then of single windows. A refined bucket is keyed by its
@@ -36,7 +36,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix, first and last start of each run of windows that are filed under one suffix."""
-    span = min(SPAN, length)
+    span = min(SPAN, length - GRAM + 1)
     n = len(data)
     mask = np.uint64(2**32 - 1)  # half for the hash, half for the place: the leftmost wins a tie
     size = -(-(n + span) // span) * span
@@ -55,7 +55,7 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _suffixes(length: int):
-    core = length - min(SPAN, length) + 1
+    core = length - min(SPAN, length - GRAM + 1) + 1
 
     def run(batches):
         for batch in batches:
@@ -182,8 +182,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     the same one; strings are judged on the input. Null texts are empty; texts shorter than ``length`` keep
     everything. Rows with equal keys are told apart by their texts, and rows equal in both repeat each
     other. With ``texts``, a character of which a byte went is dropped whole. ``keep`` names columns to return
-    as well.
+    as well. A ``length`` of less than ``GRAM`` bytes is refused.
     """
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM} bytes")
     d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     starts = repeated_starts(d.select("doc", "v", "text"), length).groupBy("doc", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     starts = stage(starts.select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "lo", "hi"), "starts")

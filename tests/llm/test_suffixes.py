@@ -43,6 +43,23 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, sx.remove_repeats(docs).collect()), key=str) == brute(rows, 400)
 
 
+@pytest.mark.parametrize("length", [16, 50, 130])
+def test_short_lengths(spark, length):
+    """Equal windows with other bytes behind them meet at any length."""
+    rng = random.Random(length)
+    new = lambda n: "".join(rng.choice("abcdefgé ") for _ in range(n))
+    shared = [new(length + 2) for _ in range(60)]
+    rows = [(i, new(rng.randrange(40)) + s.encode()[:length].decode(errors="ignore") + "z" * k + new(rng.randrange(40))) for i, s in enumerate(shared) for k in (0, 1)]
+    docs = spark.createDataFrame([(2 * i + j % 2, t) for j, (i, t) in enumerate(rows)], "doc_id long, text string")
+    want = brute([tuple(r) for r in docs.collect()], length)
+    assert sorted(map(tuple, sx.remove_repeats(docs, length=length).collect()), key=str) == want
+
+
+def test_lengths_that_are_refused(spark):
+    with pytest.raises(ValueError):
+        sx.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=15)
+
+
 def test_empty(spark):
     assert sx.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
