@@ -18,9 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 _NONE = np.int64(2**62)
-#: Words up to LONG bytes are folded as a matrix, longer ones with a heap; a worker remembers up to MEMO words.
-LONG, MEMO, CHUNK = 48, 600_000, 2 << 20
+#: Words up to LONG bytes are folded as a matrix, longer ones with a heap. A worker remembers words for some MEMO
+#: bytes at once, and takes texts of some CHUNK characters at once; neither changes a result.
+LONG, MEMO, CHUNK = 48, 24 << 20, 1 << 19
+#: Bytes that a remembered word takes beside its letters and ids.
+_ENTRY = 160
 
 
 class Codec:
@@ -39,6 +44,7 @@ class Codec:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.ids = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
@@ -108,10 +114,11 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.find(t) for t in texts]
         new = set().union(*split)
-        if len(self.number) + len(new) > MEMO:
+        if self.held > MEMO:
             self.forget()
         if new := new - self.number.keys():
             self._learn(sorted(new))
+            self.held += sum(_ENTRY + 6 * len(w) for w in new)
         out = []
         for words in split:
             w = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
@@ -135,6 +142,12 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def forget_words() -> None:
+    """Drop remembered words; the rank maps, whose size is fixed, stay for the next task."""
+    for c in _codecs.values():
+        c.forget()
+
+
 def _chunks(column: pa.Array):
     texts, size, rows = [], 0, 0
     for t in column:
@@ -179,7 +192,7 @@ def _columns(docs: DataFrame, key: str, text: str) -> DataFrame:
 def encode(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids`` of every row; a null text is empty and has no ids. Keys may repeat or be null."""
     shared = docs.sparkSession.sparkContext.broadcast(_read(rank_path))
-    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, False, True), "doc_id long, ids array<int>")
+    return _columns(docs, key, text).mapInArrow(tidy(_coded(shared, pattern, False, True)), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -191,7 +204,7 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, key: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
 
-    return coded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, data binary")
+    return coded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(tidy(run), "doc_id long, data binary")
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -201,4 +214,4 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, key: str = "doc_id
     table gives an empty one, and other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_read(rank_path))
-    return _columns(docs, key, text).mapInArrow(_coded(shared, pattern, True, ids), f"doc_id long, {'ids array<int>, ' * ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _columns(docs, key, text).mapInArrow(tidy(_coded(shared, pattern, True, ids)), f"doc_id long, {'ids array<int>, ' * ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

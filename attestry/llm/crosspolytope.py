@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, stage, tidy
 from .components import connected_components
 
 TABLES, BLOCK = 8, 1024
@@ -152,7 +152,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     largest = classes.groupBy("label", F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.max("d")).head()
     width = 2 << max(1, ((largest[1] or 1) - 1).bit_length())
     rotations = max(2, math.ceil(math.log(8 * (largest[0] or 1)) / math.log(width)))
-    coded = stage(classes.select("id", "vector").mapInArrow(_coded(rotations), "id long, codes array<long>"), "codes")
+    coded = stage(classes.select("id", "vector").mapInArrow(tidy(_coded(rotations)), "id long, codes array<long>"), "codes")
     probes = rotations + 1
     place = classes.select("id", "label", F.size("vector").alias("d"))
     rows = coded.join(place.hint("merge"), "id").select("id", "label", "d", F.posexplode("codes").alias("pos", "code"))

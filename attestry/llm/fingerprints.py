@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WIDTH, FRACTION = 16, 16
 _DIGITS = 12
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -123,4 +125,4 @@ def fingerprint_with_next(docs: DataFrame, key: str = "doc_id", text: str = "tex
     seats = F.when(target.isNull(), seats).otherwise(F.concat(seats, F.array(F.struct(target.alias("b"), F.lit(True).alias("tail")))))
     dealt = d.select("doc_id", "text", F.explode(seats).alias("s")).select("s.b", "s.tail", "doc_id", "text").repartition(len(heads), "b")
     ordered = dealt.sortWithinPartitions("b", "tail", F.col("doc_id").desc_nulls_last(), F.md5("text"))
-    return ordered.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(tidy(_walk), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

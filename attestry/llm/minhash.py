@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import stage
+from .common import stage, tidy
 from .neardup import forest_rows, near_components
 
 LAST = 2**63 - 1
@@ -68,7 +68,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """
     trees, depth = tune(percent / 100)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(d.mapInArrow(_signed(size, trees * depth, False), "doc_id long, n long, digest binary, x binary"), "signed")
+    signed = stage(d.mapInArrow(tidy(_signed(size, trees * depth, False)), "doc_id long, n long, digest binary, x binary"), "signed")
     k = F.coalesce("doc_id", F.lit(LAST))
     item = F.struct(F.col("k"), F.xxhash64("digest").alias("v"))
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct(k.alias("k"), F.col("n"), F.col("x"))).alias("m"))
@@ -77,7 +77,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     wanted = stage(rows.select("item").distinct().select(F.col("item.k").alias("k"), "item"), "wanted")
     texts = d.withColumn("k", k).join(wanted.select("k").distinct().hint("merge"), "k", "left_semi").select("k", "text")
-    sets = texts.mapInArrow(_signed(size, 0, True), "doc_id long, n long, digest binary, x array<long>")
+    sets = texts.mapInArrow(tidy(_signed(size, 0, True)), "doc_id long, n long, digest binary, x array<long>")
     sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s")).dropDuplicates(["item"])
     sets = stage(sets.join(wanted.select("item").hint("merge"), "item", "left_semi"), "sets")
     components = near_components(rows, sets, percent)

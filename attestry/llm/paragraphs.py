@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from . import shingles as sh
-from .common import stage
+from .common import stage, tidy
 from .minhash import LAST
 from .neardup import forest_rows, near_components
 
@@ -65,7 +65,7 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     bands, depth = tune(percent / 100)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     columns = "doc_id long, paragraph int, n_words long, n long, digest binary"
-    signed = stage(d.mapInArrow(_signed(size, least, bands * depth, False), f"{columns}, x binary"), "paragraphs")
+    signed = stage(d.mapInArrow(tidy(_signed(size, least, bands * depth, False)), f"{columns}, x binary"), "paragraphs")
     k = F.coalesce("doc_id", F.lit(LAST))
     classes = signed.groupBy("digest").agg(F.min(F.struct(k.alias("k"), F.col("paragraph").alias("p"), F.col("n"), F.col("x"))).alias("m"), F.count(F.lit(1)).alias("copies"))
     item = F.struct(F.col("m.k").alias("k"), F.col("m.p").alias("p"), F.xxhash64("digest").alias("v"))
@@ -74,7 +74,7 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     wanted = stage(rows.select("item").distinct(), "wanted")
     texts = d.withColumn("k", k).join(wanted.select(F.col("item.k").alias("k")).distinct().hint("merge"), "k", "left_semi").select("k", "text")
-    sets = texts.mapInArrow(_signed(size, least, 0, True), f"{columns}, x array<long>")
+    sets = texts.mapInArrow(tidy(_signed(size, least, 0, True)), f"{columns}, x array<long>")
     sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.col("paragraph").alias("p"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s"))
     sets = stage(sets.join(wanted.hint("merge"), "item", "left_semi").dropDuplicates(["item"]), "sets")
     components = near_components(rows, sets, percent)
@@ -144,7 +144,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Texts with fewer words, and so null ones, have no row; null keys count as the greatest.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    filed = stage(d.mapInArrow(_filed(passage, run), "doc_id long, word long, x long, y long"), "runs")
+    filed = stage(d.mapInArrow(tidy(_filed(passage, run)), "doc_id long, word long, x long, y long"), "runs")
     classes = filed.groupBy("x", "y").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("k"), F.col("word").alias("p"))).alias("c"), F.count(F.lit(1)).alias("copies"))
     found = stage(classes.filter("copies > 1").select("x", "y", "c"), "found")
     out = filed.join(found.hint("merge"), ["x", "y"])

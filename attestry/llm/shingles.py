@@ -11,7 +11,7 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D
-_STEP = 1 << 20
+_STEP = 1 << 18
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -27,7 +27,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i up to n; kept for the next call."""
+    """``base ** i`` modulo 2**64 for i up to n; kept until the task ends."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
         have = np.full(n + 1, base, np.uint64)
@@ -36,6 +36,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, by a polynomial over random byte codes."""
     size = max(len(data), _STEP)
@@ -45,7 +49,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * _M[0])
 
 
-def text_chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def text_chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Runs of rows with about ``most`` bytes of text: rows, bytes, and where each row's text starts; null is empty."""
     col = batch.column(column)
     if col.null_count:

@@ -1,12 +1,14 @@
-"""Suffix-array dedup by bucket-pointer refinement over sampled suffixes.
-
-Every window of ``length`` bytes is filed under one suffix: the position with the least q-gram hash among
-its first ``SPAN`` ones, or as many as have their q-gram inside the window. Equal windows are filed alike, so only these suffixes, some 1 in 64, are sorted.
-Their initial buckets are the q-grams that all windows of a suffix share. Buckets of one drop out; the rest
-are refined by the identifiers of what stands at earlier and later offsets: first of the whole run of
-windows, then of blocks of ``STEP`` windows, then of single windows. A refined bucket is keyed by its
-bucket's identifier and the new one, so each round reuses the round before, and identifiers that occur once
-leave the sort. Everything is an aggregate before it is a join, and a suffix never meets its whole bucket.
+"""Suffix-array dedup by refinement of q-gram buckets over sampled suffixes.
+
+Every window of ``length`` bytes is filed under one suffix: the position with the least hash of ``GRAM``
+bytes among its first ``SPAN`` ones, or as many as have these bytes inside the window. Equal windows are
+filed alike, so only these suffixes, some 1 in 64, are sorted. Their initial buckets are the q-grams that
+all windows of a suffix share, and buckets of one drop out. Where a window also holds the q-gram of a later
+sampled suffix, the bucket of that suffix is looked up at its offset, by a pointer: a suffix leaves if the
+bucket there was of one, else both identifiers make its new one. What is still mixed is refined by what
+stands around these q-grams: first of the whole run of windows, then of blocks of ``STEP`` windows, then of
+single windows, each round keyed by the bucket's identifier of the round before. Everything is an aggregate
+before it is a join, and a suffix never meets its whole bucket.
 """
 
 from __future__ import annotations
@@ -19,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import discard, stage
+from .common import discard, stage, tidy
 from .minhash import LAST
 
 SPAN, STEP, GRAM = 128, 16, 16
-_PLACE = 1 << 40
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -34,8 +35,12 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return sh.mix(a * sh._M[0] + (b ^ (b >> np.uint64(31))) * sh._M[2])
 
 
-def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix, first and last start of each run of windows that are filed under one suffix."""
+def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix, first and last start of each run of windows filed under one suffix, and the suffix it points to.
+
+    The pointer leads to the least q-gram hash among the ``SPAN`` positions after the suffix, which all of its
+    windows hold, so that it depends on nothing else.
+    """
     span = min(SPAN, length - GRAM + 1)
     n = len(data)
     mask = np.uint64(2**32 - 1)  # half for the hash, half for the place: the leftmost wins a tie
@@ -51,26 +56,32 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray
     m = least[start].astype(np.int64)
     first = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.empty(0, int)
     last = np.append(first[1:], len(m)) - 1 if len(m) else first
-    return m[first], start[first], start[last]
+    m, low, high = m[first], start[first], start[last]
+    return m, low, high, least[np.minimum(m + 1, n)].astype(np.int64)
 
 
 def _suffixes(length: int):
-    core = length - min(SPAN, length - GRAM + 1) + 1
+    span = min(SPAN, length - GRAM + 1)
+    core = length - span + 1
+    gram = core - span if core - span >= GRAM else core  # then there are no pointers
 
     def run(batches):
         for batch in batches:
             for rows, data, bounds in sh.text_chunks(batch, 2):
-                m, low, high = _runs(data, bounds, length)
+                m, low, high, to = _runs(data, bounds, length)
                 if not len(m):
                     continue
-                doc = np.searchsorted(bounds, low, "right") - 1
-                ids, v = (batch.column(c)[rows.start : rows.stop] for c in (0, 1))
                 j = (m - high) * SPAN + (m - low)
                 whole = sh.mix(sh.hash_spans(data, low, high + length) + j.astype(np.uint64) * sh._M[0])
-                place = np.asarray(v)[doc].astype(np.int64) * _PLACE + (m - bounds[doc])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sh.hash_spans(data, m, m + core).view(np.int64)), pa.array(whole.view(np.int64)), ids.take(pa.array(doc)), pa.array(place), pa.array(j.astype(np.int32))], ["core", "whole", "doc", "place", "j"]
-                )
+                ahead = to - m if gram < core else np.zeros(len(m), np.int64)
+                # what is pointed to counts in its bucket, also if it is past the last windows of its text
+                posts = np.setdiff1d(m + ahead, m)
+                m, j = np.concatenate([m, posts]), np.concatenate([j, np.full(len(posts), -1)])
+                whole, ahead = (np.concatenate([x, np.zeros(len(posts), x.dtype)]) for x in (whole, ahead))
+                doc = np.searchsorted(bounds, m, "right") - 1
+                ids, v = (batch.column(c)[rows.start : rows.stop].take(pa.array(doc)) for c in (0, 1))
+                columns = [sh.hash_spans(data, m, m + gram).view(np.int64), whole.view(np.int64), ids, v, (m - bounds[doc]).astype(np.int32), j.astype(np.int32), ahead.astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["core", "whole", "doc", "v", "pos", "j", "ahead"])
 
     return run
 
@@ -82,11 +93,12 @@ def _blocks(length: int):
         for batch in batches:
             lists = batch.column(3)
             at = np.asarray(lists.offsets)
-            core, place, j, times = (np.asarray(lists.values.field(k)) for k in range(4))
+            core, pos, j, times = (np.asarray(lists.values.field(k)) for k in range(4))
+            pos = pos.astype(np.int64)
             for rows, data, bounds in sh.text_chunks(batch, 2):
                 part = slice(at[rows.start], at[rows.stop])
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(at[rows.start : rows.stop + 1]))
-                m, lo, hi = place[part] % _PLACE + bounds[doc], j[part] // SPAN, j[part] % SPAN
+                m, lo, hi = pos[part] + bounds[doc], j[part] // SPAN, j[part] % SPAN
                 count = hi // STEP - lo // STEP + 1
                 one = np.repeat(np.arange(len(m)), count)
                 b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + (lo // STEP)[one]
@@ -95,10 +107,10 @@ def _blocks(length: int):
                 j1, j2 = np.maximum(lo[one], b * STEP) - b * STEP, np.minimum(hi[one], b * STEP + STEP - 1) - b * STEP
                 edge = np.concatenate([np.zeros(STEP, np.uint8), data, np.zeros(STEP, np.uint8)])
                 side = np.concatenate([edge[(left + 1)[:, None] + np.arange(STEP - 1)], edge[(right + STEP)[:, None] + np.arange(STEP - 1)]], axis=1)
-                ids = batch.column(0)[rows.start : rows.stop].take(pa.array(doc[one]))
+                ids, v = (batch.column(c)[rows.start : rows.stop].take(pa.array(doc[one])) for c in (0, 1))
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * STEP - 2), len(side), [None, pa.py_buffer(np.ascontiguousarray(side).tobytes())]) if len(side) else pa.array([], pa.binary())
-                first = place[part][one] - b * STEP
-                yield pa.RecordBatch.from_arrays([pa.array(core[part][one]), pa.array(shared.view(np.int64)), ids, pa.array(first), pa.array((j1 * STEP + j2).astype(np.int32)), flat.cast(pa.binary()), pa.array(times[part][one])], ["core", "shared", "doc", "place", "j", "side", "times"])
+                first = (pos[part][one] - b * STEP).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(core[part][one]), pa.array(shared.view(np.int64)), ids, v, pa.array(first), pa.array((j1 * STEP + j2).astype(np.int32)), flat.cast(pa.binary()), pa.array(times[part][one])], ["core", "shared", "doc", "v", "pos", "j", "side", "times"])
 
     return run
 
@@ -139,39 +151,49 @@ def _finish(length: int, texts: bool):
     return run
 
 
+def _live(suffixes: DataFrame) -> DataFrame:
+    """Suffixes whose bucket holds several, refined by the bucket that their pointer leads to."""
+    buckets = suffixes.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
+    live = stage(suffixes.join(stage(buckets, "buckets"), "core"), "live")
+    there = live.select("doc", "v", F.col("pos").alias("target"), F.col("core").alias("later")).dropDuplicates(["doc", "v", "target"])
+    pointing = live.filter("ahead > 0").withColumn("target", F.col("pos") + F.col("ahead")).join(there, ["doc", "v", "target"])
+    refined = pointing.withColumn("core", F.xxhash64("core", "ahead", "later")).select(*live.columns)
+    return stage(refined.unionByName(live.filter("ahead = 0 AND j >= 0")).drop("ahead"), "refined")
+
+
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """``doc, v, lo, hi``: ranges of starts of repeated windows, from ``docs(doc, v, text)``."""
-    found = stage(docs.mapInArrow(_suffixes(length), "core long, whole long, doc long, place long, j int"), "suffixes")
-    buckets = found.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).filter("c > 1")
-    buckets = stage(buckets.select("core", (F.col("w0") == F.col("w1")).alias("alike")), "buckets")
-    live = stage(found.join(buckets, "core"), "live")
+    found = stage(docs.mapInArrow(tidy(_suffixes(length)), "core long, whole long, doc long, v long, pos int, j int, ahead short"), "suffixes")
+    live = _live(found)
     discard(found)
+    buckets = live.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).filter("c > 1")
+    buckets = stage(buckets.select("core", (F.col("w0") == F.col("w1")).alias("alike")), "refined-buckets")
+    live = stage(live.join(buckets, "core"), "several")
     mixed = live.filter("NOT alike")
-    name = F.xxhash64("doc", "place")
-    again = mixed.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(name).alias("one")).filter("c > 1").select("core", "whole", "one")
-    mixed = stage(mixed.join(stage(again, "again"), ["core", "whole"], "left"), "mixed")
-    whole = live.filter("alike").select("doc", "place", "j").unionByName(mixed.filter("one IS NOT NULL").select("doc", "place", "j"))
-    v, m = F.shiftright("place", 40), F.pmod("place", F.lit(_PLACE))
-    ranges = whole.select("doc", v.alias("v"), (m - F.pmod("j", F.lit(SPAN))).alias("lo"), (m - F.floor(F.col("j") / SPAN)).alias("hi"))
-
-    # A repeated run goes on as one suffix that counts twice: others may share some of its windows.
-    edges = mixed.filter(F.col("one").isNull() | (F.col("one") == name)).withColumn("times", F.when(F.col("one").isNull(), 1).otherwise(2).cast("int"))
-    edges = edges.groupBy("doc", v.alias("v")).agg(F.collect_list(F.struct("core", "place", "j", "times")).alias("edges"))
-    near = docs.join(stage(edges, "edges"), ["doc", "v"]).select("doc", "v", "text", "edges")
-    blocks = stage(near.mapInArrow(_blocks(length), "core long, shared long, doc long, place long, j int, side binary, times int"), "blocks")
+    # One row for each kind of run: a repeated run goes on as one suffix that counts twice, as others may share
+    # some of its windows.
+    kinds = stage(mixed.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "v", "pos", "j")).alias("one")), "runs")
+    again = mixed.join(kinds.filter("c > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    whole = live.filter("alike").select("doc", "v", "pos", "j").unionByName(again.select("doc", "v", "pos", "j"))
+    ranges = whole.select("doc", "v", (F.col("pos") - F.pmod("j", F.lit(SPAN))).alias("lo"), (F.col("pos") - F.floor(F.col("j") / SPAN)).cast("int").alias("hi"))
+
+    edges = kinds.select("core", "one.*", F.when(F.col("c") > 1, 2).otherwise(1).cast("int").alias("times"))
+    edges = edges.groupBy("doc", "v").agg(F.collect_list(F.struct("core", "pos", "j", "times")).alias("edges"))
+    near = docs.dropDuplicates(["doc", "v"]).join(stage(edges, "edges"), ["doc", "v"]).select("doc", "v", "text", "edges")
+    blocks = stage(near.mapInArrow(tidy(_blocks(length)), "core long, shared long, doc long, v long, pos int, j int, side binary, times int"), "blocks")
     full = F.col("j") == STEP - 1  # all windows of the block are in the run
     code = F.when(full, F.xxhash64("side"))
     kinds = blocks.groupBy("core", "shared").agg(F.sum("times").alias("c"), F.count(F.lit(1)).alias("rows"), F.min(code).alias("w0"), F.max(code).alias("w1"), F.count(code).alias("n")).filter("c > 1")
     kinds = stage(kinds.select("core", "shared", F.coalesce((F.col("n") == F.col("rows")) & (F.col("w0") == F.col("w1")), F.lit(False)).alias("alike")), "kinds")
     blocks = stage(blocks.join(kinds, ["core", "shared"]), "open")
-    done = blocks.filter("alike").select("doc", v.alias("v"), (m - (STEP - 1)).alias("lo"), m.alias("hi"))
+    done = blocks.filter("alike").select("doc", "v", (F.col("pos") - (STEP - 1)).alias("lo"), F.col("pos").alias("hi"))
     t = F.explode(F.sequence(F.floor(F.col("j") / STEP).cast("int"), F.pmod("j", F.lit(STEP)).cast("int")))
-    single = blocks.filter("NOT alike").select("core", "shared", "doc", "place", "side", "times", t.alias("t"))
+    single = blocks.filter("NOT alike").select("core", "shared", "doc", "v", "pos", "side", "times", t.alias("t"))
     mine = F.col("side").substr(F.lit(STEP) - F.col("t"), F.lit(STEP - 1))
-    single = single.select("core", F.xxhash64("shared", "t", mine).alias("window"), "doc", (F.col("place") - F.col("t")).alias("place"), "times")
+    single = single.select("core", F.xxhash64("shared", "t", mine).alias("window"), "doc", "v", (F.col("pos") - F.col("t")).alias("pos"), "times")
     single = stage(single, "windows")
     twice = stage(single.groupBy("core", "window").agg(F.sum("times").alias("c")).filter("c > 1").select("core", "window"), "twice")
-    last = single.join(twice, ["core", "window"]).select("doc", v.alias("v"), m.alias("lo"), m.alias("hi"))
+    last = single.join(twice, ["core", "window"]).select("doc", "v", F.col("pos").alias("lo"), F.col("pos").alias("hi"))
     return ranges.unionByName(done).unionByName(last)
 
 
@@ -180,16 +202,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     A byte goes when a string of ``length`` bytes that covers it also starts elsewhere, in any document or
     the same one; strings are judged on the input. Null texts are empty; texts shorter than ``length`` keep
-    everything. Rows with equal keys are told apart by their texts, and rows equal in both repeat each
-    other. With ``texts``, a character of which a byte went is dropped whole. ``keep`` names columns to return
-    as well. A ``length`` of less than ``GRAM`` bytes is refused.
+    everything. Rows are told apart by key and a 64-bit hash of the text, and rows equal in both repeat each
+    other; null keys are one more key. A long text is held in memory whole, with some 80 bytes for each of
+    its bytes while its suffixes are picked. Ties between q-gram hashes go to the leftmost. An empty table
+    gives an empty result. With ``texts``, a character of which a byte went is dropped whole. Other columns
+    are not read but for those that ``keep`` names, which are returned as well and must not have the names
+    of the result. A ``length`` of less than ``GRAM`` bytes is refused.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM} bytes")
-    d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.lit(7), F.col(text)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     starts = repeated_starts(d.select("doc", "v", "text"), length).groupBy("doc", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     starts = stage(starts.select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "lo", "hi"), "starts")
     joined = d.join(starts, (F.col("doc") == F.col("_doc")) & (F.col("v") == F.col("_v")), "left").select(F.when(F.col("doc") < LAST, F.col("doc")), "text", "lo", "hi", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
     kinds = dict(docs.dtypes)
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, out string", *[f"`{c}` {kinds[c]}" for c in keep]])
-    return joined.mapInArrow(_finish(length, texts), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", *keep)
+    return joined.mapInArrow(tidy(_finish(length, texts)), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", *keep)
