@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -38,13 +39,49 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     A lost executor costs only the tasks that ran on it: what was written stays readable.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}-{tag}"
+    path = f"{shared_dir(spark)}/attestry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._attestry_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables staged inside each open ``scratch``.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete what is staged inside on leaving, but for tables given to the ``keep`` that this yields.
+
+    What is kept belongs to the scratch around, if there is one. Only tables that nothing lazy reads any more
+    may be left to it.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        discard(*(t for t in made if not any(t is k for k in kept)))
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Results that were not written yet cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/attestry-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:

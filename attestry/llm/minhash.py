@@ -13,11 +13,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import stage, tidy
+from .common import scratch, stage, tidy
 from .neardup import forest_rows, near_components
 
 LAST = 2**63 - 1
@@ -53,23 +53,39 @@ def _signed(size: int, hashes: int, sets: bool):
                         s = (sh.mix(sh.signatures(h, at[full], hashes).astype(np.uint64)) >> np.uint64(48)).astype(">u2")
                         kept[full] = [r.tobytes() for r in s]
                     extra = pa.array(kept.tolist(), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, count, digests, extra], ["doc_id", "n", "digest", "x"])
+                rest = [c[rows.start : rows.stop] for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([ids, count, digests, extra, *rest], ["doc_id", "n", "digest", "x", *batch.schema.names[2:]])
 
     return run
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85, tag: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Links join documents whose sets of word shingles have a Jaccard similarity of ``percent`` hundredths or
-    more; equal sets are collapsed before anything else. Texts that are null or without words have an empty
-    set and link with nothing. Rows with a null key link like others; their key counts as the greatest, so
-    that ``component_id`` is null only among themselves. Rows with equal keys and texts share a component.
+    more; equal sets are collapsed before anything else. Texts that are null, empty or without words have an
+    empty set and link with nothing. Rows with a null key link like others; their key counts as the greatest,
+    so that ``component_id`` is null only among themselves. Rows with equal keys and texts share a component.
+    A text's set is held in memory whole, whatever its length. An empty table gives an empty result. Other
+    columns are not read, so clashing names do not matter; ``tag`` names one to return as ``tag``, with
+    ``component``, which tells components apart also where their least keys are equal or null.
     """
     trees, depth = tune(percent / 100)
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage(d.mapInArrow(tidy(_signed(size, trees * depth, False)), "doc_id long, n long, digest binary, x binary"), "signed")
+    extra = [F.col(tag).alias("tag")] if tag else []
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *extra)
+    more = f", tag {dict(d.dtypes)['tag']}" if tag else ""
+    signed = stage(d.mapInArrow(tidy(_signed(size, trees * depth, False)), f"doc_id long, n long, digest binary, x binary{more}"), "signed")
     k = F.coalesce("doc_id", F.lit(LAST))
+    with scratch() as keep:
+        found = keep(_components(d.select("doc_id", "text"), signed, k, trees, depth, size, percent))
+    out = signed.select("doc_id", "n", "digest", *["tag"] * bool(tag)).join(found.hint("merge"), "digest", "left")
+    own = F.when(F.col("n") > 0, F.when(F.col("component.k") < LAST, F.col("component.k"))).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *["tag", "component"] * bool(tag))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *["tag", "component"] * bool(tag))
+
+
+def _components(d: DataFrame, signed: DataFrame, k: Column, trees: int, depth: int, size: int, percent: int) -> DataFrame:
+    """``digest, component`` of every set that is not empty."""
     item = F.struct(F.col("k"), F.xxhash64("digest").alias("v"))
     classes = signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct(k.alias("k"), F.col("n"), F.col("x"))).alias("m"))
     classes = stage(classes.select("digest", F.col("m.k").alias("k"), F.col("m.n").alias("n"), F.col("m.x").alias("sig")).select(item.alias("item"), "n", "sig", "digest"), "classes")
@@ -81,11 +97,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s")).dropDuplicates(["item"])
     sets = stage(sets.join(wanted.select("item").hint("merge"), "item", "left_semi"), "sets")
     components = near_components(rows, sets, percent)
-
-    found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").select("digest", F.coalesce("component.k", "item.k").alias("component"))
-    out = signed.select("doc_id", "n", "digest").join(stage(found, "found").hint("merge"), "digest", "left")
-    own = F.when(F.col("n") > 0, F.when(F.col("component") < LAST, F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").select("digest", F.coalesce("component", "item").alias("component"))
+    return stage(found, "found")
 
 
 def op1_sql() -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, scratch, stage
 from .components import connected_components
 
 #: Buckets up to FEW items are ordered in every tree, larger ones in the first FAR trees; above DENSE items a
@@ -43,7 +43,9 @@ def forest_rows(items: DataFrame, trees: int, depth: int, width: int = 2) -> Dat
     start = F.col("tree") * cut
     deep = F.concat(F.col("sig").substr(start + cut + 1, F.lit(2**30)), F.col("sig").substr(F.lit(1), start))
     rows = rows.join(shared.hint("merge"), "bucket").join(items.select("item", "sig").hint("merge"), "item")
-    return stage(rows.select("bucket", "tree", "item", "n", "c", deep.alias("deep")), "forest")
+    rows = stage(rows.select("bucket", "tree", "item", "n", "c", deep.alias("deep")), "forest")
+    discard(shared)
+    return rows
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -60,6 +62,11 @@ def _may(na, nb, least_common, least_union, percent: int):
 
 def near_components(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, component`` of the items that have a partner, from ``forest_rows`` and ``sets(item, s)``."""
+    with scratch() as keep:
+        return keep(_settled(rows, sets, percent))
+
+
+def _settled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     steps = F.ceil(F.log(F.col("c") / DENSE) / -math.log(0.85)).cast("int")
     region = F.when(F.col("c") > DENSE, F.col("deep").substr(F.lit(1), 2 * steps))
     order = Window.partitionBy("bucket", region).orderBy("deep", "item")

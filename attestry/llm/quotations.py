@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: Turns of a conversation that are searched together.
 BLOCK = 4096
 _MARKS = "\\A\\s*((?:>\\s?)+)"
@@ -55,6 +57,12 @@ def _latest(said: DataFrame, asked: DataFrame) -> DataFrame:
     return near.filter(F.col("from").isNotNull())
 
 
+def _dealt(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` in ranges of group and order, with the number of each row's range in ``part``; a large group has many."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in [*group, *order]]).withColumn("part", F.spark_partition_id())
+
+
 def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: ``conv_id, turn, role, body, n_quotes, depth, n_linked, reply_to, position``.
 
@@ -63,14 +71,17 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     lowest level, the latest such turn; without one, the turn before; null for a first message. ``position``
     counts the messages of a conversation in reply order: by the turn replied to, then by turn. Null texts
     are empty; messages without letters or digits are never quoted; null conversations are one of their own;
-    equal turns stand by role and text. An empty table gives an empty result.
+    null turns come first and are never replied to; equal turns stand by role and text, and rows that are
+    equal in all of it have one reply and a position each. A message is held in memory whole, whatever its
+    length. An empty table gives an empty result. Other columns are not read, so clashing names do not matter.
     """
     m = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), _lines(F.col(text)).alias("lines"))
     body = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
     quotes = F.filter(_passages(F.filter("lines", lambda x: (x["level"] > 0))), lambda p: normalised(p["body"]) != "")
     m = m.withColumns({"body": body, "quotes": quotes})
-    m = m.withColumn("id", F.xxhash64("conv_id", "turn", "role", "body", "quotes"))
-    ckey = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c")
+    m = m.withColumn("id", F.md5(F.to_json(F.struct("conv_id", "turn", "role", "body", "quotes"), {"ignoreNullFields": "false"})))
+    ckey = F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("conv_id").cast("string"))).alias("c")
+    m = stage(m, "messages")
 
     said = m.select(ckey, "turn", F.explode(F.array_distinct(F.concat(F.array("body"), F.split("body", "\n+")))).alias("p"))
     said = said.select("c", F.col("turn").alias("from"), F.md5(normalised(F.col("p"))).alias("h"), normalised(F.col("p")).alias("n")).filter("n <> ''").select("c", "from", "h").distinct()
@@ -83,8 +94,16 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     links = links.select("id", "n_linked", (-F.col("b.from")).alias("quoted"))
 
     out = m.select("conv_id", ckey, "turn", "role", "body", "id", F.size("quotes").alias("n_quotes"), F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).alias("depth"))
-    out = out.join(links, "id", "left")
-    order = Window.partitionBy("c").orderBy("turn", "role", "body")
-    out = out.withColumn("reply_to", F.coalesce("quoted", F.lag("turn").over(order)))
-    position = F.row_number().over(Window.partitionBy("c").orderBy(F.col("reply_to").asc_nulls_first(), "turn", "role", "body"))
-    return out.select("conv_id", "turn", "role", "body", "n_quotes", "depth", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", position.alias("position"))
+    out = stage(_dealt(out.join(links, "id", "left"), ["c"], ["turn", "role", "body"]), "by-turn")
+    before = out.groupBy("c", "part").agg(F.max("turn").alias("last"))
+    before = before.select("c", "part", F.lag("last").over(Window.partitionBy("c").orderBy("part")).alias("last"))  # a row for each part
+    order = Window.partitionBy("c", "part").orderBy("turn", "role", "body")
+    out = out.withColumns({"previous": F.lag("turn").over(order), "first": F.row_number().over(order) == 1}).join(before, ["c", "part"])
+    out = out.withColumn("reply_to", F.coalesce("quoted", F.when(F.col("first"), F.col("last")).otherwise(F.col("previous")))).drop("part", "last", "first", "previous")
+
+    keys = ["reply_to", "turn", "role", "body"]
+    out = stage(_dealt(out, ["c"], keys), "by-reply")
+    before = out.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("c", "part", F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    position = (F.row_number().over(Window.partitionBy("c", "part").orderBy(*keys)) + F.col("n")).cast("int")
+    return out.join(before, ["c", "part"]).select("conv_id", "turn", "role", "body", "n_quotes", "depth", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", position.alias("position"))

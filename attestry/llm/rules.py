@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, stage
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 _SYMBOLS = "*#$%&|@^~<>{}[]\\/_=+`"
@@ -149,17 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Rules, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row, null and empty texts included."""
+    """``doc_id, held_out, score, predicted`` for every row, null and empty texts included.
+
+    Rows are independent: repeated rows get equal scores, null keys are not held out, and an empty table gives
+    an empty result. A text is scanned as a whole, whatever its length. Columns that ``keep`` does not name are
+    not read; those it names must not have the names of the result.
+    """
     scored = statistics(docs, text, [key, *keep]).withColumn(_OWN + "score", model.column())
     return scored.select(F.col(key).alias("doc_id"), F.coalesce(held_out(F.col(key)), F.lit(False)).alias("held_out"), F.col(_OWN + "score").alias("score"), F.when(F.col(_OWN + "score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"), *keep)
 
 
 def accept(docs: DataFrame, model: Rules, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``score`` predicts as 1.
+    """The rows of ``docs``, with all their columns, that ``score`` predicts as 1.
 
-    The row number keeps the filter above the statistics: below them, every bound of every rule would work
-    its statistic out again.
+    Scores are staged beside the rows, and only then filtered: a filter that reaches below the statistics
+    would have every bound of every rule work its statistic out again.
     """
-    row, others = _OWN + "row", tuple(c for c in docs.columns if c != key)
-    scored = score(docs, model, key, text, others).withColumn(row, F.monotonically_increasing_id())
-    return scored.filter((F.col("predicted") == 1) & (F.col(row) >= 0)).withColumnRenamed("doc_id", key).select(*docs.columns)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(columns, F.col(key).alias("key"), F.col(text).alias("text"))
+    scored = stage(score(packed, model, "key", "text", ("row",)).select("predicted", "row"), "scored")
+    return scored.filter("predicted = 1").select("row.*")
