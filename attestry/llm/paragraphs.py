@@ -1,8 +1,10 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard, removal by components.
 
-Paragraphs are lines of at least ``LEAST`` words; shorter ones are headings and notices, not passages. Bands
-are tuned so that a pair at the threshold collides in one of them but once in ten thousand. Passages that
-start or end inside lines, or run over many short ones, are found by runs of words (see repeated_passages).
+Paragraphs are of two kinds. Lines of at least ``LEAST`` words are compared by bands, tuned so that a pair at
+the threshold collides in one of them but once in ten thousand, and verified by exact Jaccard similarity.
+Passages that start or end inside lines, or run over many short ones, have no line of their own: they are cut
+at places that their own words define, so that equal passages give equal paragraphs whatever stands around
+them, and only equality is asked of those (see repeated_passages).
 """
 
 from __future__ import annotations
@@ -14,13 +16,13 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from . import shingles as sh
-from .common import stage, tidy
+from .common import scratch, stage, tidy
 from .minhash import LAST
 from .neardup import forest_rows, near_components
 
 LEAST, SIZE, PERCENT = 20, 5, 80
-#: Words of a passage, and of the run it is filed under.
-PASSAGE, RUN = 50, 20
+#: Words of a passage, and of the run it is filed under: RUN finds more of an edited passage, UNIT less by chance.
+PASSAGE, RUN, UNIT = 50, 20, 30
 
 
 def tune(threshold: float, miss: float = 1e-4, most: int = 48) -> tuple[int, int]:
@@ -56,37 +58,52 @@ def _signed(size: int, least: int, hashes: int, sets: bool):
 
 
 def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """One row per paragraph that repeats or nearly repeats another one.
+    """One row per line that repeats or nearly repeats another one.
 
     ``doc_id, paragraph`` (its line, from 0), ``n_words``, ``component_doc_id, component_paragraph`` (the
-    first of those it reaches), ``removed`` (it isn't that one). Paragraphs without a partner, and so null,
-    empty and short texts, have no row. Null keys count as the greatest; rows with equal keys are read each.
+    first of those it reaches), ``removed`` (it isn't that one). Lines without a partner, and so null, empty
+    and short texts and empty tables, have no row. Null keys count as the greatest; rows with equal keys are
+    read each, and repeated rows repeat each other's lines. A text is held in memory whole, however long it
+    or a line of it is. Other columns are not read, so clashing names do not matter.
     """
     bands, depth = tune(percent / 100)
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     columns = "doc_id long, paragraph int, n_words long, n long, digest binary"
     signed = stage(d.mapInArrow(tidy(_signed(size, least, bands * depth, False)), f"{columns}, x binary"), "paragraphs")
     k = F.coalesce("doc_id", F.lit(LAST))
-    classes = signed.groupBy("digest").agg(F.min(F.struct(k.alias("k"), F.col("paragraph").alias("p"), F.col("n"), F.col("x"))).alias("m"), F.count(F.lit(1)).alias("copies"))
-    item = F.struct(F.col("m.k").alias("k"), F.col("m.p").alias("p"), F.xxhash64("digest").alias("v"))
-    classes = stage(classes.select(item.alias("item"), F.col("m.n").alias("n"), F.col("m.x").alias("sig"), "digest", "copies"), "classes")
-    rows = forest_rows(classes, bands, depth)
-
-    wanted = stage(rows.select("item").distinct(), "wanted")
-    texts = d.withColumn("k", k).join(wanted.select(F.col("item.k").alias("k")).distinct().hint("merge"), "k", "left_semi").select("k", "text")
-    sets = texts.mapInArrow(tidy(_signed(size, least, 0, True)), f"{columns}, x array<long>")
-    sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.col("paragraph").alias("p"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s"))
-    sets = stage(sets.join(wanted.hint("merge"), "item", "left_semi").dropDuplicates(["item"]), "sets")
-    components = near_components(rows, sets, percent)
-
-    found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
-    found = stage(found.select("digest", F.coalesce("component", "item").alias("c")), "found")
+    with scratch() as keep:
+        classes = signed.groupBy("digest").agg(F.min(F.struct(k.alias("k"), F.col("paragraph").alias("p"), F.col("n"), F.col("x"))).alias("m"), F.count(F.lit(1)).alias("copies"))
+        item = F.struct(F.col("m.k").alias("k"), F.col("m.p").alias("p"), F.xxhash64("digest").alias("v"))
+        classes = stage(classes.select(item.alias("item"), F.col("m.n").alias("n"), F.col("m.x").alias("sig"), "digest", "copies"), "classes")
+        rows = forest_rows(classes, bands, depth)
+
+        wanted = stage(rows.select("item").distinct(), "wanted")
+        texts = d.withColumn("k", k).join(wanted.select(F.col("item.k").alias("k")).distinct().hint("merge"), "k", "left_semi").select("k", "text")
+        sets = texts.mapInArrow(tidy(_signed(size, least, 0, True)), f"{columns}, x array<long>")
+        sets = sets.select(F.struct(F.col("doc_id").alias("k"), F.col("paragraph").alias("p"), F.xxhash64("digest").alias("v")).alias("item"), F.col("x").alias("s"))
+        sets = stage(sets.join(wanted.hint("merge"), "item", "left_semi").dropDuplicates(["item"]), "sets")
+        components = near_components(rows, sets, percent)
+
+        found = classes.join(components.hint("merge"), F.col("item") == F.col("node"), "left").filter((F.col("copies") > 1) | F.col("component").isNotNull())
+        found = keep(stage(found.select("digest", F.coalesce("component", "item").alias("c")), "found"))
     out = signed.select("doc_id", "paragraph", "n_words", "digest").join(found.hint("merge"), "digest")
     first = F.col("doc_id").eqNullSafe(F.col("component_doc_id")) & (F.col("paragraph") == F.col("component_paragraph"))
     out = out.select("doc_id", "paragraph", "n_words", F.when(F.col("c.k") < LAST, F.col("c.k")).alias("component_doc_id"), F.col("c.p").alias("component_paragraph"))
     return out.withColumn("removed", ~first)
 
 
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, least: int = LEAST, passage: int = PASSAGE, run: int = UNIT) -> DataFrame:
+    """Repeated paragraphs of both kinds: ``doc_id, kind, place, n_words, component_doc_id, component_place, removed``.
+
+    ``kind`` is ``line`` (``place`` is its number in the text) or ``run`` (``place`` is its first word), both
+    from 0; rows as in ``repeated_paragraphs`` and ``repeated_passages``, odd rows too.
+    """
+    out = ["doc_id", "kind", "place", "n_words", "component_doc_id", "component_place", "removed"]
+    lines = repeated_paragraphs(docs, key, text, size, percent, least).withColumns({"kind": F.lit("line"), "place": F.col("paragraph").cast("long"), "component_place": F.col("component_paragraph").cast("long")})
+    runs = repeated_passages(docs, key, text, passage, run).withColumns({"kind": F.lit("run"), "place": F.col("word"), "component_place": F.col("component_word")})
+    return lines.select(*out).unionByName(runs.select(*out))
+
+
 def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` word hashes from each position on; the last n - 1 positions have none."""
     out, have, power, done = np.zeros(len(h) - n + 1, np.uint64), h, 1, 0

@@ -34,6 +34,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op7_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cross_polytope": op4_cross_polytope,
     "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op7_repeats": op7_repeats,
     "op7_paragraph_bands": op7_paragraph_bands,
     "op7_passages": op7_passages,
     "op7_lines": op7_lines,
