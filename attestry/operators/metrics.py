@@ -20,34 +20,60 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.struct(at(F.greatest(F.lit(0.0), middle - half)).alias("lo"), at(F.least(F.lit(1.0), middle + half)).alias("hi"))
 
 
+#: Strips of the range 0 to 1 that scores are ordered in, each on its own.
+STRIPS = 4096
+
+
+def _strip(score: Column) -> Column:
+    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * STRIPS)
+
+
+def running(values: DataFrame, by: list[str], score: str, counts: list[str]) -> DataFrame:
+    """``values`` with ``below_<count>``: sums over the rows of the group with a lower score, for distinct scores.
+
+    A strip of scores is one task, and the sums of the strips before it come from a table of strips: no task
+    orders a whole group. Scores outside 0 to 1 fall into the strips at the ends.
+    """
+    v = values.withColumn("_strip", _strip(F.col(score)))
+    inside = Window.partitionBy(*by, "_strip").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = v.groupBy(*by, "_strip").agg(*[F.sum(c).alias(f"_s_{c}") for c in counts])
+    strips = strips.select(*by, "_strip", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in counts])
+    v = v.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts})
+    same = [v[k].eqNullSafe(strips[k]) for k in [*by, "_strip"]]
+    out = v.join(strips, same)
+    return out.select(*[v[c] for c in values.columns], *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"below_{c}") for c in counts])
+
+
 def auroc(scores: DataFrame, positive: str, score: str, by: list[str] | None = None) -> DataFrame:
     """``by, n_pos, n_neg, auroc``: chance that a positive outranks a negative, ties half.
 
-    Scores are counted per value before anything is ranked, and running sums replace the pairs. Within a
-    group the distinct values are what one task orders, not the rows.
+    Scores are counted per value before anything is ranked, and running sums replace the pairs.
     """
     by = by or []
-    g = Window.partitionBy(*(by or [F.lit(0)]))
     values = scores.groupBy(*by, score).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(~F.col(positive), 1).otherwise(0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(g.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = values.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    wins = running(values, by, score, ["n"]).withColumn("w", F.col("p") * (F.col("below_n") + F.col("n") / 2))
     out = wins.groupBy(*by).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), F.sum("w").alias("w"))
     return out.withColumn("auroc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).otherwise(F.lit(NAN))).drop("w")
 
 
-def _kth(scores: DataFrame, score: str, k: int, descending: bool) -> float | None:
-    """The k-th value in order, by counts per value."""
+def _kth(scores: DataFrame, score: str, k: int) -> float | None:
+    """The k-th lowest value, by counts per value: the strip that holds it, and then the value inside."""
     counts = scores.groupBy(score).agg(F.count(F.lit(1)).alias("c"))
-    order = F.col(score).desc() if descending else F.col(score).asc()
-    run = counts.withColumn("run", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(order)))
-    row = run.filter(F.col("run") >= k).orderBy(order).select(score).head()
+    row = running(counts, [], score, ["c"]).filter((F.col("below_c") < k) & (F.col("below_c") + F.col("c") >= k)).select(score).head()
     return None if row is None else row[0]
 
 
 def threshold_for_loss(scores: DataFrame, score: str, loss: float) -> float:
     """The score below which a new supported claim falls with about this chance."""
     n = scores.count()
-    return _kth(scores, score, min(max(1, int(loss * (n + 1))), n), descending=False)
+    return _kth(scores, score, min(max(1, int(loss * (n + 1))), n))
+
+
+def just_above(value: Column) -> Column:
+    """The least multiple of 1e-4 above a value."""
+    steps = F.floor(value * 10_000)
+    return F.when(steps / 10_000 > value, steps).when((steps + 1) / 10_000 > value, steps + 1).otherwise(steps + 2) / 10_000
 
 
 def threshold_for_admission(scores: DataFrame, score: str, rate: float) -> float:
@@ -56,11 +82,8 @@ def threshold_for_admission(scores: DataFrame, score: str, rate: float) -> float
     k = int(rate * (n + 1))
     if k >= n:
         return 0.0
-    top = _kth(scores, score, k + 1, descending=True)
-    cut = round(top, 4)
-    while cut <= top:
-        cut = round(cut + 1e-4, 4)
-    return cut
+    top = _kth(scores, score, n - k)
+    return scores.sparkSession.range(1).select(just_above(F.lit(top))).head()[0]
 
 
 def score_for_thresholds(verdict: str = "verdict") -> Column:
@@ -72,28 +95,34 @@ def _hash01(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 2**32
 
 
-def held_out(rows: DataFrame, key: str, label: str, score: str, judged: str, loss: float = 0.08, rounds: int = 20) -> DataFrame:
+def held_out(rows: DataFrame, key: str, label: str, score: str, judged: str, loss: float = 0.08, rounds: int = 200, max_admitted: float | None = None) -> DataFrame:
     """``round, threshold, true_lost, unstated_admitted, contradicted_admitted`` for halves split by hashes.
 
-    Each round orders every label's rows by a hash of round and key; the first half sets the threshold that
-    loses ``loss`` of its decided true claims, the second half is measured. A round is one partition of the
-    windows, so rounds run side by side.
+    A row is in a round's first half where the hash of round and key is below one half. That half sets the
+    threshold: it loses ``loss`` of the decided true claims or, with ``max_admitted``, admits that share of the
+    others. The other half is measured. Rows are counted per round and score, and never ordered one by one.
     """
     d = rows.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(score).alias("s"), F.col(judged).alias("j")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    per = Window.partitionBy("round", "l")
-    d = d.withColumn("r", F.row_number().over(per.orderBy(_hash01(F.col("round"), F.col("k")), "k"))).withColumn("n", F.count(F.lit(1)).over(per))
-    d = d.withColumn("first", F.col("r") <= F.floor(F.col("n") / 2))
-    cal = d.filter((F.col("l") == "S") & F.col("first") & F.col("j"))
-    in_round = Window.partitionBy("round")
-    cal = cal.withColumn("at", F.row_number().over(in_round.orderBy("s", "k"))).withColumn("m", F.count(F.lit(1)).over(in_round))
-    want = F.least(F.col("m"), F.greatest(F.lit(1), F.floor(loss * (F.col("m") + 1))))
-    cut = cal.filter(F.col("at") == want).select("round", F.col("s").alias("threshold"))
-    test = d.filter(~F.col("first")).join(cut, "round")
-    share = lambda l, low: F.avg(F.when(F.col("l") == l, F.when((F.col("s") < F.col("threshold")) if low else (F.col("s") >= F.col("threshold")), 1.0).otherwise(0.0)))  # noqa: E731, E741
+    d = d.withColumn("first", _hash01(F.col("round"), F.col("k")) < 0.5)
+    sets = F.col("first") & ((F.col("l") == "S") & F.col("j") if max_admitted is None else F.col("l") != "S")
+    n = lambda c: F.count(F.when(c, 1))
+    half = ~F.col("first")
+    values = d.groupBy("round", "s").agg(n(sets).alias("c"), *[n(half & (F.col("l") == x)).alias(x) for x in "SNC"])
+    total = values.groupBy("round").agg(F.sum("c").alias("m"))
+    v = running(values, ["round"], "s", ["c"]).join(total.filter("m > 0"), "round")
+    if max_admitted is None:
+        want = F.least(F.col("m"), F.greatest(F.lit(1), F.floor(loss * (F.col("m") + 1))))
+    else:
+        want = F.col("m") - F.floor(max_admitted * (F.col("m") + 1))
+    at = F.when((F.col("below_c") < want) & (F.col("below_c") + F.col("c") >= want), F.col("s"))
+    cut = v.groupBy("round").agg(F.max(at).alias("at"))
+    cut = cut.select("round", (F.col("at") if max_admitted is None else F.coalesce(just_above(F.col("at")), F.lit(0.0))).alias("threshold"))
+    test = values.join(cut, "round")
+    share = lambda x, low: F.sum(F.when((F.col("s") < F.col("threshold")) if low else (F.col("s") >= F.col("threshold")), F.col(x)).otherwise(0)) / F.nullif(F.sum(x), F.lit(0))
     return test.groupBy("round", "threshold").agg(share("S", True).alias("true_lost"), share("N", False).alias("unstated_admitted"), share("C", False).alias("contradicted_admitted"))
 
 
-def bootstrap_auroc(scores: DataFrame, key: str, positive: str, score: str, rounds: int = 100) -> DataFrame:
+def bootstrap_auroc(scores: DataFrame, key: str, positive: str, score: str, rounds: int = 1000) -> DataFrame:
     """``round, auroc`` of Poisson(1) resamples, whose weights come from hashes of round and key."""
     d = scores.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     u, weight, total, p = _hash01(F.lit("boot"), F.col("round"), F.col(key)), F.lit(0), 0.0, math.exp(-1)
@@ -103,13 +132,19 @@ def bootstrap_auroc(scores: DataFrame, key: str, positive: str, score: str, roun
         weight = weight + F.when(u >= total, 1).otherwise(0)
     d = d.withColumn("w", weight).filter("w > 0")
     values = d.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(~F.col(positive), F.col("w")).otherwise(0)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = values.withColumn("x", F.col("p") * (before + F.col("n") / 2)).groupBy("round").agg(F.sum("x").alias("x"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    wins = running(values, ["round"], score, ["n"]).withColumn("x", F.col("p") * (F.col("below_n") + F.col("n") / 2)).groupBy("round").agg(F.sum("x").alias("x"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return wins.select("round", (F.col("x") / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
-def review_estimate(groups: DataFrame) -> DataFrame:
-    """One row from ``groups(grp, memories, reviewed, not_stated)``: the stratified share not stated.
+def bootstrap_interval(resampled: DataFrame) -> DataFrame:
+    """One row ``rounds, lo, hi``: the middle 95 % of ``bootstrap_auroc``; NaN without a round. One value a round is gathered."""
+    d = resampled.agg(F.sort_array(F.collect_list("auroc")).alias("a")).withColumn("r", F.size("a"))
+    at = lambda share: F.coalesce(F.get("a", F.least(F.col("r") - 1, F.floor(F.lit(share) * F.col("r")).cast("int"))), F.lit(NAN))
+    return d.select(F.col("r").cast("long").alias("rounds"), at(0.025).alias("lo"), at(0.975).alias("hi"))
+
+
+def review_estimate(groups: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (for each of ``by``) from ``groups(grp, memories, reviewed, not_stated)``: the stratified share not stated.
 
     Null while a group with memories has no review. The interval is normal, on Jeffreys-smoothed rates, and
     shrinks to nothing as a group is reviewed in full.
@@ -121,5 +156,5 @@ def review_estimate(groups: DataFrame) -> DataFrame:
     rest = F.when(F.col("memories") > 1, (F.col("memories") - F.col("reviewed")) / (F.col("memories") - 1)).otherwise(0.0)
     spread = F.col("memories") ** 2 * smooth * (1 - smooth) / (F.col("reviewed") + 2) * rest
     gap = F.max(F.when(F.col("reviewed") == 0, 1).otherwise(0)) == 1
-    out = g.agg(F.when(~gap, F.sum(F.col("memories") * F.when(F.col("reviewed") > 0, rate)) / total).alias("estimate"), F.when(~gap, F.sqrt(F.sum(spread)) / total).alias("se"), F.sort_array(F.collect_list(F.when(F.col("reviewed") == 0, F.col("grp")))).alias("missing_groups"))
+    out = g.groupBy(*(by or [])).agg(F.when(~gap, F.sum(F.col("memories") * F.when(F.col("reviewed") > 0, rate)) / total).alias("estimate"), F.when(~gap, F.sqrt(F.sum(spread)) / total).alias("se"), F.sort_array(F.collect_list(F.when(F.col("reviewed") == 0, F.col("grp")))).alias("missing_groups"))
     return out.withColumns({"lo": F.greatest(F.lit(0.0), F.col("estimate") - 1.96 * F.col("se")), "hi": F.least(F.lit(1.0), F.col("estimate") + 1.96 * F.col("se"))})

@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantities import missing_from
-from ..functions.sentences import choose_windows
-from ..functions.text import guess_language, normalize_ws
+from ..functions.quantities import missing, quantities
+from ..functions.sentences import windows
+from ..functions.text import language_of, nfkc, nfkc_all, normalize_ws, words
 from ..judges import Judge, load_judge
 from ..policy import Policy
 
 LABELS = ("supported", "not_supported", "contradicted", "uncertain", "unjudged")
-_PREPARED = "struct<windows:array<struct<start:int,end:int,text:string>>,missing:array<string>>"
-
-
-def _prepared(source: Column, claim: Column, italian: Column, policy: Policy) -> Column:
-    """Windows and missing quantities: the only step in Python, once for each batch of rows."""
-    sizes, chars, most, numeric = policy.window_sizes, policy.full_source_max_chars, policy.max_windows, policy.numeric_check
-
-    @F.pandas_udf(_PREPARED)
-    def prepare(s: pd.Series, c: pd.Series, it: pd.Series) -> pd.DataFrame:
-        chosen = [choose_windows(x, y, sizes, chars, most) if x and not x.isspace() else [] for x, y in zip(s, c, strict=True)]
-        spans = [[{"start": a, "end": b, "text": x[a:b]} for a, b in w] for x, w in zip(s, chosen, strict=True)]
-        lacks = [missing_from(y, x, z) if numeric and x and not x.isspace() else [] for x, y, z in zip(s, c, it, strict=True)]
-        return pd.DataFrame({"windows": spans, "missing": lacks})
-
-    return prepare(source, claim, italian)
-
-
 def _two(x: Column) -> Column:
     return F.format_number(x, 2)
 
@@ -46,14 +28,16 @@ def verify(pairs: DataFrame, policy: Policy | None = None, judge: Judge | None =
     text = normalize_ws(F.coalesce(F.col(claim), F.lit("")))
     d = pairs.withColumn("_claim", F.when(text == "", F.raise_error(F.lit("a claim is empty")).cast("string")).otherwise(text))
     blank = F.coalesce(normalize_ws(F.col(source)) == "", F.lit(True))
-    own = guess_language(F.col("_claim"))
-    d = d.withColumns({"_blank": blank, "_own": own})
-    tongue = F.lit(language) if language else F.when(F.col("_own") == "und", guess_language(F.coalesce(F.col(source), F.lit("")))).otherwise(F.col("_own"))
+    d = d.withColumns({"_blank": blank, "_premise": nfkc(F.coalesce(F.col(source), F.lit(""))), "_hypothesis": nfkc(F.col("_claim"))})
+    d = d.withColumn("_own", language_of(words(F.col("_hypothesis"), normal=True)))
+    tongue = F.lit(language) if language else F.when(F.col("_own") == "und", language_of(words(F.col("_premise"), normal=True))).otherwise(F.col("_own"))
     d = d.withColumn("_lang", F.when(F.col("_blank"), "und").otherwise(tongue))
-    d = d.withColumn("_p", _prepared(F.col(source), F.col("_claim"), F.col("_own") == "it", policy))
-    d = d.withColumns({"_w": F.col("_p.windows"), "_missing": F.col("_p.missing")})
-    d = d.withColumn("_s", judge.scores(F.transform("_w", lambda w: w["text"]), F.col("_claim")))
-    return decide(d, policy, judge.id).drop("_claim", "_blank", "_own", "_lang", "_p", "_w", "_missing", "_s")
+    d = d.withColumn("_w", windows(F.col(source), F.col("_claim"), policy.window_sizes, policy.full_source_max_chars, policy.max_windows))
+    lacks = missing(F.col("_stated_c"), F.col("_stated_s")) if policy.numeric_check else F.array().cast("array<string>")
+    d = d.withColumns({"_stated_c": quantities(F.col("_claim"), F.col("_own") == "it"), "_stated_s": quantities(F.col(source))})
+    d = d.withColumns({"_missing": F.when(F.col("_blank"), F.array().cast("array<string>")).otherwise(lacks), "_texts": nfkc_all(F.transform("_w", lambda w: w["text"]))})
+    d = d.withColumn("_s", judge.scores(F.col("_texts"), F.col("_hypothesis")))
+    return decide(d, policy, judge.id).drop("_claim", "_blank", "_premise", "_hypothesis", "_own", "_lang", "_w", "_stated_c", "_stated_s", "_missing", "_texts", "_s")
 
 
 def decide(d: DataFrame, policy: Policy, judge_id: str) -> DataFrame:
@@ -73,6 +57,7 @@ def decide(d: DataFrame, policy: Policy, judge_id: str) -> DataFrame:
     lacks = F.size("_missing") > 0
     contradicted = F.coalesce(F.col("_worst") >= contrary, F.lit(False))
     none = F.size("_w") == 0
+    # The order of the cases, and their texts.
     cases = [
         (F.col("_blank"), "unjudged", F.lit("no source was given, so nothing can be verified")),
         (none, "not_supported", F.lit("the source only asks questions: it states nothing")),
