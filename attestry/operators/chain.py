@@ -19,7 +19,8 @@ def _material(prev: Column) -> Column:
 def build(events: DataFrame, order: list[str], head: str = GENESIS, last_seq: int = 0) -> DataFrame:
     """Chain ``events(ts, kind, fact_id, payload)`` in the order of ``order`` after ``head``.
 
-    Every hash takes in the one before, so this is one task; it streams and holds one hash.
+    Every hash takes in the one before, so this is one task; it streams and holds one hash. A null time, kind or
+    payload counts as empty text.
     """
     fields = [f.split() for f in COLUMNS.split(", ")]
     schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in fields])
@@ -36,7 +37,8 @@ def build(events: DataFrame, order: list[str], head: str = GENESIS, last_seq: in
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    one = events.select("ts", "kind", "fact_id", "payload", *order).coalesce(1).sortWithinPartitions(*order)
+    given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("ts", "kind", "payload")]
+    one = events.select(*given, "fact_id", *order).coalesce(1).sortWithinPartitions(*order)
     return one.select("ts", "kind", "fact_id", "payload").mapInArrow(run, COLUMNS)
 
 
@@ -68,5 +70,7 @@ def tail(log: DataFrame, n: int = 20) -> DataFrame:
 
 
 def export(log: DataFrame, path: str) -> None:
-    """JSON lines by ``seq``; payloads that are JSON stay JSON text."""
-    log.orderBy("seq").write.json(path)
+    """JSON lines by ``seq``, in files in that order, with payloads as the objects that they hold."""
+    plain = [c for c in log.columns if c != "payload"]
+    payload = F.coalesce(F.try_parse_json("payload"), F.to_variant_object(F.struct(F.col("payload").alias("text"))))
+    log.select(*plain, payload.alias("payload")).orderBy("seq").write.mode("overwrite").json(path)

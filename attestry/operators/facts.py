@@ -26,13 +26,15 @@ def supersede(facts: DataFrame, subject: str, valid_from: str, arrival: str, key
     start. The holder is a running maximum, so one sort per subject decides all. Without a subject nothing
     is superseded.
     """
+    named = F.coalesce(F.col(subject).cast("string"), F.lit("")) != ""
     order = Window.partitionBy(subject).orderBy(arrival)
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    d = facts.withColumn("_h", F.max(F.struct(F.col(valid_from).alias("v"), F.col(arrival).alias("a"), F.col(key).alias("k"))).over(before))
+    d = facts.filter(named).withColumn("_h", F.max(F.struct(F.col(valid_from).alias("v"), F.col(arrival).alias("a"), F.col(key).alias("k"))).over(before))
     d = d.withColumn("_holds", F.col("_h").isNull() | (F.col(valid_from) >= F.col("_h.v")))
     following = F.first(F.when(F.col("_holds"), F.col(key)), ignorenulls=True).over(after)
-    d = d.withColumn("superseded_by", F.when(F.col(subject).isNull() | (F.col(subject).cast("string") == ""), None).when(F.col("_holds"), following).otherwise(F.col("_h.k")))
-    return d.withColumn("status", F.when(F.col("superseded_by").isNull(), "verified").otherwise("superseded")).drop("_h", "_holds")
+    d = d.withColumn("superseded_by", F.when(F.col("_holds"), following).otherwise(F.col("_h.k"))).drop("_h", "_holds")
+    alone = facts.filter(~named).withColumn("superseded_by", F.lit(None).cast(dict(d.dtypes)["superseded_by"]))  # no window for these
+    return d.unionByName(alone).withColumn("status", F.when(F.col("superseded_by").isNull(), "verified").otherwise("superseded"))
 
 
 def prepare_writes(verdicts: DataFrame, policy: Policy, is_model: bool, now: Column) -> DataFrame:
@@ -74,7 +76,8 @@ def apply_writes(rows: DataFrame) -> DataFrame:
                         current.clear()
                     current[norm] = (a, since)
             out[a] = (a, status, same, by)
-        return pd.DataFrame(list(out.values()), columns=["arrival", "status", "duplicate_of", "superseded_by"]).astype({"duplicate_of": "Int64", "superseded_by": "Int64"})
+        columns = list(zip(*out.values(), strict=True))  # built one by one: a frame of rows would turn them into floats
+        return pd.DataFrame({"arrival": columns[0], "status": columns[1], "duplicate_of": pd.array(columns[2], "Int64"), "superseded_by": pd.array(columns[3], "Int64")})
 
     done = small.select("_g", "arrival", "norm", "status", "valid_from").groupBy("_g").applyInPandas(fold, "arrival long, status string, duplicate_of long, superseded_by long")
     return d.drop("_g", "status").join(done, "arrival")
@@ -89,15 +92,33 @@ def review_queue(facts: DataFrame, limit: int = 20) -> DataFrame:
     return facts.filter(F.col("status").isin("quarantined", "unverified")).orderBy(F.desc("rowid")).limit(limit)
 
 
-def review(facts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Apply ``decisions(id, approve, reviewer)``; deciding twice, blank reviewers and other statuses are errors."""
-    d = facts.join(decisions.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+def review(facts: DataFrame, decisions: DataFrame, now: str | None = None) -> DataFrame:
+    """Apply ``decisions(id, approve, reviewer)``; deciding twice, blank reviewers and other statuses are errors.
+
+    An approved fact is verified, and then supersedes the verified one of its subject, or is superseded by it,
+    as when it is written; several of one subject are approved in order of rowid. Facts without ``subject`` and
+    ``valid_from`` columns only change their status.
+    """
+    once = decisions.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("approve").alias("approve"), F.first("reviewer").alias("reviewer"))
+    d = facts.join(once.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     decided = F.col("_id").isNotNull()
-    bad = F.when(decided & (F.trim(F.coalesce("reviewer", F.lit(""))) == ""), "a review needs the reviewer's name").when(decided & ~F.col("status").isin(*REVIEWABLE), F.concat(F.lit("cannot review a fact that is "), F.col("status")))
+    bad = F.when(F.col("n") > 1, F.concat(F.lit("decided more than once: "), F.col("_id"))).when(decided & (F.trim(F.coalesce("reviewer", F.lit(""))) == ""), "a review needs the reviewer's name")
+    bad = bad.when(decided & ~F.col("status").isin(*REVIEWABLE), F.concat(F.lit("cannot review a fact that is "), F.col("status")))
     verb = F.when(F.col("approve"), "approved by ").otherwise("rejected by ")
     status = F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).when(decided, F.when(F.col("approve"), "verified").otherwise("rejected")).otherwise(F.col("status"))
-    changed = {"status": status, "reason": F.when(decided, F.concat(verb, "reviewer")).otherwise(F.col("reason")), "reviewed_by": F.when(decided, F.col("reviewer")).otherwise(F.col("reviewed_by"))}
-    return d.withColumns(changed).drop("_id", "approve", "reviewer")
+    changed = {"status": status, "reason": F.when(decided, F.concat(verb, "reviewer")).otherwise(F.col("reason")), "reviewed_by": F.when(decided, F.col("reviewer")).otherwise(F.col("reviewed_by")), "_new": decided & F.col("approve")}
+    d = d.withColumns(changed).drop("_id", "approve", "reviewer", "n")
+    if not {"subject", "valid_from", "superseded_by"} <= set(facts.columns):
+        return d.drop("_new")
+    current = d.filter((F.col("status") == "verified") & (F.col("subject") != "")).select("id", "subject", "valid_from", F.struct("_new", "rowid").alias("_at"))
+    touched = d.filter("_new AND subject <> ''").select("subject").distinct()
+    after = supersede(current.join(touched, "subject", "left_semi"), "subject", "valid_from", "_at", "id").filter("superseded_by IS NOT NULL").select(F.col("id").alias("_id"), F.col("superseded_by").alias("_by"))
+    d = d.join(after, F.col("id") == F.col("_id"), "left")
+    gone = F.col("_by").isNotNull()
+    d = d.withColumns({"status": F.when(gone, "superseded").otherwise(F.col("status")), "superseded_by": F.coalesce("_by", "superseded_by")})
+    if "superseded_at" in facts.columns:
+        d = d.withColumn("superseded_at", F.when(gone, F.lit(now)).otherwise(F.col("superseded_at")))
+    return d.drop("_id", "_by", "_new")
 
 
 def forget(facts: DataFrame, sources: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +128,7 @@ def forget(facts: DataFrame, sources: DataFrame, ids: DataFrame) -> tuple[DataFr
     """
     d = facts.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left")
     gone = F.col("_id").isNotNull()
-    wiped = {"text": "", "norm": "", "subject": None, "source_id": None, "verdict": None, "meta": "{}", "hash_key": "", "support": 0.0, "status": "forgotten", "reason": "forgotten on request"}
+    wiped = {"text": "", "norm": "", "subject": None, "source_id": None, "verdict": None, "meta": "{}", "hash_key": "", "label": "", "support": 0.0, "status": "forgotten", "reason": "forgotten on request"}
     kinds = dict(facts.dtypes)
     d = d.withColumns({c: F.when(gone, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in wiped.items() if c in kinds}).drop("_id")
     used = d.select(F.col("source_id").alias("id")).filter("id IS NOT NULL").distinct()

@@ -107,19 +107,19 @@ def held_out(rows: DataFrame, key: str, label: str, score: str, judged: str, los
     sets = F.col("first") & ((F.col("l") == "S") & F.col("j") if max_admitted is None else F.col("l") != "S")
     n = lambda c: F.count(F.when(c, 1))
     half = ~F.col("first")
-    values = d.groupBy("round", "s").agg(n(sets).alias("c"), *[n(half & (F.col("l") == x)).alias(x) for x in "SNC"])
-    total = values.groupBy("round").agg(F.sum("c").alias("m"))
-    v = running(values, ["round"], "s", ["c"]).join(total.filter("m > 0"), "round")
+    values = d.groupBy("round", "s").agg(n(sets).alias("sets"), *[n(half & (F.col("l") == x)).alias(f"n_{x}") for x in "SNC"])
+    total = values.groupBy("round").agg(F.sum("sets").alias("m"))
+    v = running(values, ["round"], "s", ["sets"]).join(total.filter("m > 0"), "round")
     if max_admitted is None:
         want = F.least(F.col("m"), F.greatest(F.lit(1), F.floor(loss * (F.col("m") + 1))))
     else:
         want = F.col("m") - F.floor(max_admitted * (F.col("m") + 1))
-    at = F.when((F.col("below_c") < want) & (F.col("below_c") + F.col("c") >= want), F.col("s"))
+    at = F.when((F.col("below_sets") < want) & (F.col("below_sets") + F.col("sets") >= want), F.col("s"))
     cut = v.groupBy("round").agg(F.max(at).alias("at"))
     cut = cut.select("round", (F.col("at") if max_admitted is None else F.coalesce(just_above(F.col("at")), F.lit(0.0))).alias("threshold"))
     test = values.join(cut, "round")
     share = lambda x, low: F.sum(F.when((F.col("s") < F.col("threshold")) if low else (F.col("s") >= F.col("threshold")), F.col(x)).otherwise(0)) / F.nullif(F.sum(x), F.lit(0))
-    return test.groupBy("round", "threshold").agg(share("S", True).alias("true_lost"), share("N", False).alias("unstated_admitted"), share("C", False).alias("contradicted_admitted"))
+    return test.groupBy("round", "threshold").agg(share("n_S", True).alias("true_lost"), share("n_N", False).alias("unstated_admitted"), share("n_C", False).alias("contradicted_admitted"))
 
 
 def bootstrap_auroc(scores: DataFrame, key: str, positive: str, score: str, rounds: int = 1000) -> DataFrame:

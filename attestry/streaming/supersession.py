@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 OUT = "subject string, id string, status string, other string"
@@ -15,7 +16,8 @@ def stream_supersede(facts: DataFrame) -> DataFrame:
     """Changes of status of a stream ``facts(subject, id, valid_from, arrival)``, in order of arrival within a batch.
 
     A new holder gives its own row as verified and its predecessor's as superseded by it; an older arrival
-    is superseded by the holder. State is one row per subject.
+    is superseded by the holder. State is one row per subject; without a subject a fact is verified and has
+    no state.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,4 +35,7 @@ def stream_supersede(facts: DataFrame) -> DataFrame:
         state.update(held)
         yield pd.DataFrame(out, columns=["subject", "id", "status", "other"])
 
-    return facts.groupBy("subject").applyInPandasWithState(step, OUT, "id string, valid_from string", "append", "NoTimeout")
+    named = F.coalesce("subject", F.lit("")) != ""
+    held = facts.filter(named).groupBy("subject").applyInPandasWithState(step, OUT, "id string, valid_from string", "append", "NoTimeout")
+    alone = facts.filter(~named).select("subject", "id", F.lit("verified").alias("status"), F.lit(None).cast("string").alias("other"))
+    return held.union(alone)

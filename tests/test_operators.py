@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -92,7 +93,7 @@ def test_audit(spark):
     assert "<b>&lt;b&gt;</b>" in page and "**2**" in audit.render_markdown(s.asDict(), [], "j", "p")
 
 
-def test_chain(spark):
+def test_chain(spark, tmp_path):
     d = spark.createDataFrame([(i, f"t{i}", "write", None if i % 2 else f"f{i}", f'{{"a":{i}}}') for i in range(1, 8)], "n int, ts string, kind string, fact_id string, payload string")
     log = chain.build(d, ["n"])
     assert chain.verify(log).head().asDict() == {"ok": True, "events": 7, "first_bad": None, "reason": ""}
@@ -101,6 +102,12 @@ def test_chain(spark):
     gap = chain.verify(log.filter("seq <> 4")).head()
     assert (gap.first_bad, gap.reason) == (5, "gap in sequence before 5")
     assert chain.head(log.limit(0)).head().hash == chain.GENESIS
+    assert [r.seq for r in chain.tail(log, 2).collect()] == [6, 7]
+    odd = chain.build(spark.createDataFrame([(1, None, None, None, None)], "n int, ts string, kind string, fact_id string, payload string"), ["n"])
+    assert chain.verify(odd).head().ok
+    chain.export(log, str(tmp_path / "log"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "log").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x["seq"] for x in lines] == list(range(1, 8)) and lines[2]["payload"] == {"a": 3}
 
 
 def one_by_one(rows):
@@ -138,6 +145,9 @@ def test_forget_and_review(spark):
     assert {r.id for r in sources.collect()} == {"s1", "s3"}
     done = facts.review(f, spark.createDataFrame([("b", True, "Kim")], "id string, approve boolean, reviewer string"))
     assert {r.id: r.status for r in done.collect()}["b"] == "verified"
+    twice = spark.createDataFrame([("b", True, "Kim"), ("b", False, "Kim")], "id string, approve boolean, reviewer string")
+    with pytest.raises(Exception, match="more than once"):
+        facts.review(f, twice).collect()
     with pytest.raises(Exception, match="cannot review"):
         facts.review(f, spark.createDataFrame([("a", True, "Kim")], "id string, approve boolean, reviewer string")).collect()
 
@@ -162,6 +172,12 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"source": "a b", "claim": "c", "label": "supported"}\n\n{"source": "", "claim": "c", "label": "N"}\n', encoding="utf-8")
     assert [tuple(r) for r in records.load_pairs(spark, str(tmp_path / "b.jsonl")).collect()] == [("0", "a b", "c", "S", "")]
     (tmp_path / "q.json").write_text('{"facts": [{"id": "f", "text": "t"}], "questions": [{"q": "w", "answer": ["f"]}, {"q": "v", "answer": []}]}')
+    (tmp_path / "c.JSONL").write_text('{"premise": "a", "hypothesis": "b", "label": "c", "lang": "EN", "id": ""}\n{"premise": " ", "hypothesis": "b", "label": "N"}\n', encoding="utf-8")
+    assert [tuple(r) for r in records.load_pairs(spark, str(tmp_path / "c.JSONL")).orderBy("id").collect()] == [("", "a", "b", "C", "en"), ("1", " ", "b", "N", "")]
+    (tmp_path / "d.json").write_text('[{"source": "a\u2028b", "memory": "m"}, {"source": "x", "memory": " "}]', encoding="utf-8")
+    assert [tuple(r) for r in records.load_audit_rows(spark, str(tmp_path / "d.json")).collect()] == [("1", "a\u2028b", "m", "")]
+    (tmp_path / "e.txt").write_text("one\ntwo")
+    assert records.read_text(spark, str(tmp_path / "e.txt")).head()[0] == "one\ntwo"
     f, q = records.load_questions(spark, str(tmp_path / "q.json"))
     assert f.count() == 1 and [list(r.want) for r in q.orderBy("q_id").collect()] == [["f"], []]
 
@@ -170,10 +186,10 @@ def test_stream(spark, tmp_path):
     from attestry.streaming.supersession import stream_supersede
 
     schema = "subject string, id string, valid_from string, arrival int"
-    pd.DataFrame([("s", "a", "2024-01-02", 1), ("s", "b", "2024-01-01", 2), ("s", "c", "2024-01-03", 3)], columns=["subject", "id", "valid_from", "arrival"]).to_json(tmp_path / "1.json", orient="records", lines=True)
+    pd.DataFrame([("s", "a", "2024-01-02", 1), ("s", "b", "2024-01-01", 2), ("s", "c", "2024-01-03", 3), (None, "d", "2024-01-03", 4), (None, "e", "2024-01-04", 5), ("", "f", "2024-01-01", 6)], columns=["subject", "id", "valid_from", "arrival"]).to_json(tmp_path / "1.json", orient="records", lines=True)
     stream = spark.readStream.schema(schema).json(str(tmp_path))
     q = stream_supersede(stream).writeStream.format("memory").queryName("changes").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
     got = [tuple(r) for r in spark.table("changes").collect()]
-    assert sorted(got, key=str) == sorted([("s", "a", "verified", None), ("s", "b", "superseded", "a"), ("s", "a", "superseded", "c"), ("s", "c", "verified", None)], key=str)
+    assert sorted(got, key=str) == sorted([("s", "a", "verified", None), ("s", "b", "superseded", "a"), ("s", "a", "superseded", "c"), ("s", "c", "verified", None), (None, "d", "verified", None), (None, "e", "verified", None), ("", "f", "verified", None)], key=str)
