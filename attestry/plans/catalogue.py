@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.quantities import missing, quantities
 from ..functions.sentences import sentences, windows
 from ..judges import Cover, Lexical
-from ..operators import audit, chain, facts, metrics, search
+from ..operators import audit, chain, evaluation, facts, metrics, search
 from ..operators.verify import status_for, verify
 from ..policy import Policy
 
@@ -78,9 +78,10 @@ def content_tokens(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.content_tokens(F.col("text"))), " ").alias("tokens"))
 
 
-@query(f"WITH t AS (SELECT doc_id, '  ' || lower({_ws('text')}) || '  ' AS t FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, len(t) - 1), lambda i: substring(t, i, 3))))::INT AS n FROM t")
+@query(f"WITH t AS (SELECT doc_id, '  ' || lower({_ws('text')}) || '  ' AS t FROM documents) SELECT doc_id, len(list_distinct(list_transform(range(1, len(t) - 1), lambda i: substring(t, i, 3))))::INT AS n, md5(array_to_string(list_sort(list_distinct(list_transform(range(1, len(t) - 1), lambda i: substring(t, i, 3)))), '|')) AS grams FROM t")
 def char_trigrams(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.size(T.char_trigrams(F.col("text"))).alias("n"))
+    g = T.char_trigrams(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(g).alias("n"), F.md5(F.array_join(F.array_sort(g), "|")).alias("grams"))
 
 
 @query(f"WITH c AS (SELECT doc_id, {_count('text', T.ITALIAN)} AS it, {_count('text', T.ENGLISH)} AS en FROM documents) SELECT doc_id, CASE WHEN it = en THEN 'und' WHEN it > en THEN 'it' ELSE 'en' END AS language FROM c")
@@ -130,7 +131,13 @@ v AS MATERIALIZED (SELECT *, CASE WHEN support >= 0.5 THEN 'supported' WHEN supp
 
 
 def scored(spark, d) -> DataFrame:
-    return labelled(spark, d).select("id", "doc_id", "label", "lang", T.overlap(T.content_tokens(F.col("claim")), T.content_tokens(F.coalesce("source", F.lit("")))).alias("support"))
+    """Support of the pairs of ``labelled``: every text is tokenised once, and only the tokens of claims are joined."""
+    docs = _t(spark, d, "documents").select("doc_id", "lang", T.content_tokens(F.coalesce("text", F.lit(""))).alias("words"), T.normalize_ws(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("claim"))
+    claims = _t(spark, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), T.normalize_ws(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("next"))
+    both = docs.join(claims, "doc_id", "left")
+    pair = lambda label, claim: F.struct(F.lit(label).alias("label"), T.content_tokens(F.col(claim)).alias("wanted"), (F.col(claim) != "").alias("some"))
+    rows = both.select("doc_id", "lang", "words", F.explode(F.array(pair("S", "claim"), pair("N", "next"))).alias("p")).filter("p.some")
+    return rows.select(F.concat(F.col("p.label"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.col("p.label").alias("label"), "lang", T.overlap(F.col("p.wanted"), F.col("words")).alias("support"))
 
 
 def _verdict() -> Column:
@@ -236,18 +243,33 @@ def admission_threshold(spark, d):
     return spark.range(1).select(F.lit(cut).alias("threshold"))
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT id AS k, label AS l, support AS s, unnest(range(1, 21)) AS round FROM s),
-o AS (SELECT *, row_number() OVER (PARTITION BY round, l ORDER BY {_hash('round', 'k')}, k) <= floor(count(*) OVER (PARTITION BY round, l) / 2) AS first FROM x),
-c AS (SELECT round, s, row_number() OVER (PARTITION BY round ORDER BY s, k) AS nth, count(*) OVER (PARTITION BY round) AS m FROM o WHERE first AND l = 'S'),
-th AS (SELECT round, s AS threshold FROM c WHERE nth = least(m, greatest(1, floor(0.08 * (m + 1)))))
-SELECT o.round::INT AS round, round(threshold, 9) AS threshold, round(avg(CASE WHEN l = 'S' THEN (s < threshold)::INT END), 9) AS true_lost, round(avg(CASE WHEN l = 'N' THEN (s >= threshold)::INT END), 9) AS unstated_admitted
-FROM o JOIN th ON th.round = o.round WHERE NOT first GROUP BY o.round, threshold""")
+_HALVES = f"""x AS (SELECT id AS k, label AS l, support AS s, unnest(range(1, 201)) AS round FROM s),
+o AS MATERIALIZED (SELECT *, {_hash('round', 'k')} < 0.5 AS first FROM x)"""
+_HELD = """SELECT o.round::INT AS round, round(threshold, 9) AS threshold, round(avg(CASE WHEN l = 'S' THEN (s < threshold)::INT END), 9) AS true_lost, round(avg(CASE WHEN l = 'N' THEN (s >= threshold)::INT END), 9) AS unstated_admitted
+FROM o JOIN th ON th.round = o.round WHERE NOT first GROUP BY o.round, threshold"""
+
+
+@query(f"""WITH {_PAIRS}, {_HALVES},
+c AS (SELECT round, s, row_number() OVER (PARTITION BY round ORDER BY s) AS nth, count(*) OVER (PARTITION BY round) AS m FROM o WHERE first AND l = 'S'),
+th AS (SELECT round, s AS threshold FROM c WHERE nth = least(m, greatest(1, floor(0.08 * (m + 1))))) {_HELD}""")
 def held_out_rates(spark, d):
     rows = scored(spark, d).withColumn("judged", F.lit(True))
     out = metrics.held_out(rows, "id", "label", "support", "judged")
     return out.select("round", _r("threshold").alias("threshold"), _r("true_lost").alias("true_lost"), _r("unstated_admitted").alias("unstated_admitted"))
 
 
+_ABOVE = lambda v: f"(CASE WHEN floor({v} * 10000) / 10000 > {v} THEN floor({v} * 10000) WHEN (floor({v} * 10000) + 1) / 10000 > {v} THEN floor({v} * 10000) + 1 ELSE floor({v} * 10000) + 2 END / 10000)"
+
+
+@query(f"""WITH {_PAIRS}, {_HALVES},
+c AS (SELECT round, s, row_number() OVER (PARTITION BY round ORDER BY s) AS nth, count(*) OVER (PARTITION BY round) AS m FROM o WHERE first AND l <> 'S'),
+th AS (SELECT round, {_ABOVE('s')} AS threshold FROM c WHERE nth = m - floor(0.05 * (m + 1))) {_HELD}""")
+def held_out_admission(spark, d):
+    rows = scored(spark, d).withColumn("judged", F.lit(True))
+    out = metrics.held_out(rows, "id", "label", "support", "judged", max_admitted=0.05)
+    return out.select("round", _r("threshold").alias("threshold"), _r("true_lost").alias("true_lost"), _r("unstated_admitted").alias("unstated_admitted"))
+
+
 def _poisson_sql() -> str:
     out, total, p = [], 0.0, math.exp(-1)
     for k in range(1, 8):
@@ -257,15 +279,76 @@ def _poisson_sql() -> str:
     return " + ".join(out)
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT id, label = 'S' AS pos, support, unnest(range(1, 101)) AS round FROM s), u AS (SELECT *, {_hash("'boot'", 'round', 'id')} AS u FROM x),
+_RESAMPLED = f"""WITH {_PAIRS}, x AS (SELECT id, label = 'S' AS pos, support, unnest(range(1, 1001)) AS round FROM s), u AS (SELECT *, {_hash("'boot'", 'round', 'id')} AS u FROM x),
 w AS (SELECT *, {_poisson_sql()} AS w FROM u), g AS (SELECT round, support, sum(CASE WHEN pos THEN w ELSE 0 END) AS p, sum(CASE WHEN pos THEN 0 ELSE w END) AS n FROM w WHERE w > 0 GROUP BY ALL),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY support ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY support ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)"""
+
+
+@query(_RESAMPLED + """
 SELECT round::INT AS round, round(sum(p * (below + n / 2.0)) / (sum(p)::DOUBLE * sum(n)), 9) AS auroc FROM b GROUP BY round""")
 def bootstrap_auroc(spark, d):
     rows = scored(spark, d).withColumn("pos", F.col("label") == "S")
     return metrics.bootstrap_auroc(rows, "id", "pos", "support").withColumn("auroc", _r("auroc"))
 
 
+@query(_RESAMPLED + """, a AS (SELECT sum(p * (below + n / 2.0)) / (sum(p)::DOUBLE * sum(n)) AS auroc FROM b GROUP BY round), l AS (SELECT list_sort(list(auroc)) AS a, count(*) AS r FROM a)
+SELECT r AS rounds, round(a[floor(0.025 * r)::INT + 1], 9) AS lo, round(a[least(r - 1, floor(0.975 * r))::INT + 1], 9) AS hi FROM l""")
+def bootstrap_interval(spark, d):
+    rows = scored(spark, d).withColumn("pos", F.col("label") == "S")
+    return metrics.bootstrap_interval(metrics.bootstrap_auroc(rows, "id", "pos", "support")).select("rounds", _r("lo").alias("lo"), _r("hi").alias("hi"))
+
+
+def _evaluated(spark, d) -> DataFrame:
+    return scored(spark, d).select("id", "label", "lang", _verdict().alias("verdict"), "support", F.lit(True).alias("judged"))
+
+
+@query(f"""WITH {_PAIRS}, l AS (SELECT unnest(['S', 'N', 'C']) AS label)
+SELECT l.label, count(v.id) AS pairs, round(coalesce(avg((verdict = 'supported')::INT) FILTER (WHERE v.id IS NOT NULL), 'nan'::DOUBLE), 9) AS supported_rate FROM l LEFT JOIN v ON v.label = l.label GROUP BY l.label""")
+def supported_rates(spark, d):
+    return evaluation.rates(_evaluated(spark, d)).select("label", "pairs", _r("supported_rate").alias("supported_rate"))
+
+
+@query(f"WITH {_PAIRS} SELECT id, label, verdict, round(support, 9) AS support FROM v WHERE (label = 'S') <> (verdict = 'supported')")
+def evaluation_errors(spark, d):
+    return evaluation.errors(_evaluated(spark, d)).select("id", "label", "verdict", _r("support").alias("support"))
+
+
+@query(f"""WITH {_PAIRS}, r AS (SELECT *, label = 'S' AS pos, rank() OVER (PARTITION BY lang ORDER BY support) + (count(*) OVER (PARTITION BY lang, support) - 1) / 2.0 AS rk FROM s WHERE lang <> ''),
+g AS (SELECT lang, count(*) AS pairs, count(*) FILTER (WHERE pos) AS n_pos, count(*) FILTER (WHERE NOT pos) AS n_neg, sum(rk) FILTER (WHERE pos) AS w FROM r GROUP BY 1)
+SELECT lang, pairs, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN (w - n_pos * (n_pos + 1) / 2.0) / (n_pos::DOUBLE * n_neg) ELSE 'nan'::DOUBLE END, 9) AS auroc FROM g""")
+def evaluation_by_language(spark, d):
+    return evaluation.by_language(_evaluated(spark, d)).select("lang", "pairs", _r("auroc").alias("auroc"))
+
+
+@query(f"WITH {_PAIRS}, l AS (SELECT unnest(['supported', 'not_supported', 'contradicted', 'uncertain', 'unjudged']) AS verdict) SELECT l.verdict, count(v.id) AS n FROM l LEFT JOIN v ON v.verdict = l.verdict GROUP BY l.verdict")
+def verdict_counts(spark, d):
+    return evaluation.verdict_counts(_evaluated(spark, d))
+
+
+@query(f"""WITH {_PAIRS}, o AS (SELECT support, row_number() OVER (ORDER BY support) AS r, count(*) OVER () AS n FROM s WHERE label = 'S'),
+a AS (SELECT support AS v FROM o WHERE r = least(n, greatest(1, floor(0.08 * (n + 1))))), b AS (SELECT support AS v FROM o WHERE r = least(n, greatest(1, floor(0.02 * (n + 1))))),
+u AS (SELECT support, row_number() OVER (ORDER BY support) AS r, count(*) OVER () AS n FROM s WHERE label = 'N'), c AS (SELECT {_ABOVE('support')} AS v FROM u WHERE r = n - floor(0.05 * (n + 1)))
+SELECT 'loss' AS objective, round(a.v, 4) AS support, round(least(a.v, b.v), 4) AS uncertain FROM a, b UNION ALL SELECT 'admission', round(c.v, 4), round(least(c.v, 0.2), 4) FROM c""")
+def calibrated_thresholds(spark, d):
+    rows, policy = _evaluated(spark, d), Policy()
+    found = [(name, *evaluation.calibrate(rows, policy, max_admitted=cap, rounds=5)[:1]) for name, cap in (("loss", None), ("admission", 0.05))]
+    return spark.createDataFrame([(name, t.support, t.uncertain) for name, t in found], "objective string, support double, uncertain double")
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY label DESC) - 1 AS ord FROM s) SELECT doc_id AS id, (ord + 1)::INT AS k, round(max(support) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS support FROM r WHERE ord < 12")
+def window_budget(spark, d):
+    from pyspark.sql import Window
+
+    ranked = scored(spark, d).withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("label"))) - 1)
+    return evaluation.window_budget(ranked.select(F.col("doc_id").alias("id"), "ord", F.col("support").alias("entailment"))).select("id", "k", _r("support").alias("support"))
+
+
+@query(f"WITH {_PAIRS}, z AS (SELECT support, round(support, 1) AS again FROM s) SELECT count(*) AS pairs, round(max(abs(support - again)), 9) AS max_gap, round(avg(abs(support - again)), 9) AS mean_gap, count(*) FILTER (WHERE (support >= 0.5) <> (again >= 0.5)) AS crossed FROM z")
+def precision(spark, d):
+    one = scored(spark, d).select("id", "support")
+    return evaluation.precision(one, one.withColumn("support", F.round("support", 1)), 0.5).withColumns({"max_gap": _r("max_gap"), "mean_gap": _r("mean_gap")})
+
+
 @query("""WITH r AS (SELECT CASE WHEN quality = 1 THEN 'verified' ELSE 'flagged' END AS grp, toxic, doc_id % 3 <> 2 AS seen FROM labels),
 g AS (SELECT grp, count(*) AS memories, count(*) FILTER (WHERE seen) AS reviewed, count(*) FILTER (WHERE seen AND toxic = 1) AS not_stated FROM r GROUP BY grp)
 SELECT round(sum(memories * (not_stated / reviewed)) / sum(memories), 9) AS estimate FROM g""")
@@ -364,15 +447,16 @@ def facts_with_sources(spark, d):
     return facts.with_sources(*_facts_and_sources(spark, d)).select("id", "source_origin", "source_author")
 
 
-@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS source_id, o_orderstatus = 'F' AS gone FROM orders),
+@query("""WITH g AS (SELECT o_orderkey AS id, o_custkey AS source_id, o_orderpriority AS text, o_orderstatus = 'F' AS gone FROM orders),
 o AS (SELECT source_id FROM g GROUP BY source_id HAVING bool_and(gone))
-SELECT (SELECT count(*) FROM g WHERE gone) AS forgotten, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT source_id FROM o)) AS sources_left""")
+SELECT 'fact' AS kind, id, CASE WHEN gone THEN '' ELSE text END AS text, CASE WHEN gone THEN 'forgotten' ELSE 'verified' END AS status FROM g
+UNION ALL SELECT 'source', c_custkey, c_mktsegment, NULL FROM customer WHERE c_custkey NOT IN (SELECT source_id FROM o)""")
 def forget(spark, d):
     f, s = _facts_and_sources(spark, d)
     gone = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
     left, sources = facts.forget(f, s, gone)
-    n = left.agg(F.count(F.when(F.col("status") == "forgotten", 1)).alias("forgotten"))
-    return n.join(F.broadcast(sources.agg(F.count(F.lit(1)).alias("sources_left"))))
+    facts_left = left.select(F.lit("fact").alias("kind"), "id", "text", "status")
+    return facts_left.unionByName(sources.select(F.lit("source").alias("kind"), "id", F.col("origin").alias("text"), F.lit(None).cast("string").alias("status")))
 
 
 @query()
