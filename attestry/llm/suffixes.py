@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     d = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.lit(7), F.col(text)).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     starts = repeated_starts(d.select("doc", "v", "text"), length).groupBy("doc", "v").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     starts = stage(starts.select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "lo", "hi"), "starts")
-    joined = d.join(starts, (F.col("doc") == F.col("_doc")) & (F.col("v") == F.col("_v")), "left").select(F.when(F.col("doc") < LAST, F.col("doc")), "text", "lo", "hi", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
+    joined = d.join(starts, (F.col("doc") == F.col("_doc")) & (F.col("v") == F.col("_v")), "left").select(F.when(F.col("doc") < LAST, F.col("doc")), "text", "lo", "hi", *[F.col(f"_{i}") for i in range(len(keep))])
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, out string", *[f"`{c}` {kinds[c]}" for c in keep]])
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, out string", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)]])
     return joined.mapInArrow(tidy(_finish(length, texts)), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept" if texts else "kept_sha256", *keep)
