@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import html
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..judges import Judge
@@ -14,21 +12,11 @@ from .verify import LABELS, verify
 
 
 def audit_pairs(rows: DataFrame, policy: Policy | None = None, judge: Judge | None = None) -> DataFrame:
-    """``id, memory, source, verdict, support, contradiction, reason, evidence, missing_quantities, why``."""
+    """``id, memory, source, verdict, support, contradiction, reason, evidence, missing_quantities``; ``reports`` says why in words."""
     d = verify(rows, policy, judge, claim="memory")
     v = F.col("verdict")
     four = lambda c: F.round(c, 4)
-    d = d.select("id", "memory", "source", v["label"].alias("verdict"), four(v["support"]).alias("support"), four(v["contradiction"]).alias("contradiction"), v["reason"].alias("reason"), F.coalesce(v["evidence"]["text"], F.lit("")).alias("evidence"), v["missing"].alias("missing_quantities"))
-    return d.withColumn("why", explain())
-
-
-def explain() -> Column:
-    """Why a memory got its verdict, in words."""
-    p = F.format_number("support", 2)
-    lacks = F.size("missing_quantities") > 0
-    text = F.when(lacks, F.concat(F.lit("Not in the source: "), F.array_join("missing_quantities", ", "))).when(F.col("verdict") == "contradicted", "The source says otherwise")
-    text = text.when(F.col("verdict") == "uncertain", F.concat(F.lit("Weak or contested support, "), p)).when(F.col("verdict") == "supported", F.concat(F.lit("Stated by the source, "), p))
-    return text.otherwise(F.concat(F.lit("Not stated by the source, best support "), p))
+    return d.select("id", "memory", "source", v["label"].alias("verdict"), four(v["support"]).alias("support"), four(v["contradiction"]).alias("contradiction"), v["reason"].alias("reason"), F.coalesce(v["evidence"]["text"], F.lit("")).alias("evidence"), v["missing"].alias("missing_quantities"))
 
 
 def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -53,24 +41,6 @@ def summarize_review(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return review_estimate(review_groups(rows, marks))
 
 
-def render_markdown(total: dict, examples: list[dict], judge: str, policy: str) -> str:
-    """A report from one row of ``summary`` and the lowest-supported flagged rows (see ``worst``)."""
-    share = "n/a" if not total["judged"] else f"{total['unsupported_share']:.0%} ({total['lo']:.0%}-{total['hi']:.0%})"
-    lines = ["# Memory reliability", "", f"- pairs: **{total['total']}**", f"- supported: **{total['supported']}**", f"- not supported: **{total['flagged']}**, {share} of {total['judged']} judged", f"- with numbers that the source lacks: **{total['numeric_violations']}**", f"- uncertain: **{total['uncertain']}**, unjudged: **{total['unjudged']}**", ""]
-    if examples:
-        lines += ["## Least supported", ""]
-        for r in examples:
-            lines += [f"* {r['memory']}", f"  {r['why']}", *([f"  closest: “{r['evidence']}”"] if r["evidence"] else []), ""]
-    return "\n".join([*lines, f"Judge {judge}, policy {policy}.", ""])
-
-
-def render_html(total: dict, examples: list[dict], judge: str, policy: str) -> str:
-    """The same as a page; everything that came from data is escaped."""
-    bars = "".join(f"<span class='{k}' style='width:{100 * total[k] / (total['total'] or 1):.2f}%'></span>" for k in LABELS)
-    items = "".join(f"<li><b>{html.escape(r['memory'])}</b><p>{html.escape(r['why'])}</p><q>{html.escape(r['evidence'])}</q></li>" for r in examples)
-    return f"<!doctype html><meta charset='utf-8'><title>Memory reliability</title><main><div class='bar'>{bars}</div><ul>{items}</ul><p>{html.escape(judge)}, {html.escape(policy)}</p></main>\n"
-
-
 def worst(rows: DataFrame, n: int = 10) -> DataFrame:
     """The flagged rows with the least support: what a report shows."""
     return rows.filter(F.col("verdict").isin("contradicted", "not_supported")).orderBy("support", "id").limit(n)
