@@ -23,7 +23,7 @@ from .common import tidy
 _NONE = np.int64(2**62)
 #: Words up to LONG bytes are folded as a matrix, longer ones with a heap. A worker remembers words for some MEMO
 #: bytes at once, and takes texts of some CHUNK characters at once; neither changes a result.
-LONG, MEMO, CHUNK = 48, 24 << 20, 1 << 19
+LONG, MEMO, CHUNK = 48, 64 << 20, 1 << 19
 #: Bytes that a remembered word takes beside its letters and ids.
 _ENTRY = 160
 
