@@ -131,7 +131,8 @@ class Memory:
         was = before.select("id", F.col("status").alias("was"), F.col("superseded_by").alias("by"))
         changed = after.join(was, "id").filter((F.col("status") != F.col("was")) | ~F.col("superseded_by").eqNullSafe(F.col("by")))
         log = known.join(after.select("id", "rowid", "status"), "id").select(F.col("rowid").alias("o1"), F.lit(0).alias("o2"), F.lit("review").alias("kind"), F.col("id").alias("fact_id"), F.to_json(F.struct("approve", "reviewer")).alias("payload"))
-        lost = changed.filter("status = 'superseded'").select(F.col("rowid").alias("o1"), F.lit(1).alias("o2"), F.lit("supersede").alias("kind"), F.col("id").alias("fact_id"), F.to_json(F.struct(F.col("superseded_by").alias("by"))).alias("payload"))
+        by = after.select(F.col("id").alias("superseded_by"), F.col("rowid").alias("by_row"))
+        lost = changed.filter("status = 'superseded'").join(by, "superseded_by").select(F.greatest("rowid", "by_row").alias("o1"), F.lit(1).alias("o2"), F.lit("supersede").alias("kind"), F.col("id").alias("fact_id"), F.to_json(F.struct(F.col("superseded_by").alias("by"))).alias("payload"))
         self.tables.commit({"events": self._log(log.unionByName(lost))}, {"facts": after})
         return changed.drop("was", "by")
 

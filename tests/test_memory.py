@@ -63,7 +63,7 @@ def test_an_approved_fact_supersedes(spark, tmp_path):
     got = remember(m, item(1, "Anna leads", "lead", "2026-01-02"), item(2, "Boris leads", "lead", "2026-01-03", author="web"), item(3, "Carla leads", "lead", "2026-01-01", author="web"))
     changed = m.review(spark.createDataFrame([(got[2].fact_id, True, "Kim"), (got[3].fact_id, True, "Kim")], "id string, approve boolean, reviewer string"))
     assert {r.id: (r.status, r.superseded_by) for r in changed.collect()} == {got[2].fact_id: ("verified", None), got[1].fact_id: ("superseded", got[2].fact_id), got[3].fact_id: ("superseded", got[2].fact_id)}
-    assert [r.kind for r in m.events.orderBy("seq").collect()] == ["write"] * 3 + ["review", "review", "supersede", "supersede"] or m.stats()["chain"]["ok"]
+    assert [r.kind for r in m.events.orderBy("seq").collect()] == ["write"] * 3 + ["review", "supersede"] * 2 and m.stats()["chain"]["ok"]
 
 
 def test_batches_do_as_one_by_one(spark, tmp_path):
