@@ -31,24 +31,44 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 0 AND up + down > 1").isEmpty()
 
 
-def connected_components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
+def _round(edges: DataFrame) -> DataFrame:
+    half = _star(edges, large=True)
+    after = _star(half, large=False)
+    discard(half)
+    return after
+
+
+def contracted(links: DataFrame, rounds: int) -> DataFrame:
+    """Edges ``a, b`` with the components of the staged ``links(a, b)``, after some rounds; b is less than a."""
+    now = links.filter(F.col("a") != F.col("b")).select("a", "b")
+    for done in range(rounds):
+        after = _round(now)
+        if done:
+            discard(now)
+        now = after
+    return now
+
+
+def parts(edges: DataFrame) -> DataFrame:
+    """``node, component`` from ``contracted`` edges, where a component may still be in several parts."""
+    heads = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    heads = heads.join(edges.select(F.col("a").alias("node")), "node", "left_anti")
+    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(heads)
+
+
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` for every node of ``links(a, b)``: the least node reachable.
 
     Repeated and reversed links are welcome, self-links say nothing and nulls are not allowed. Rounds double
     the reach, and their state is written to shared storage. A node with many links is never gathered in
-    one place. After ``rounds`` rounds, if given, a component may still be in several parts.
+    one place.
     """
     now = stage(links.filter(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "links")
-    done = 0
     while True:
-        half = _star(now, large=True)
-        after = _star(half, large=False)
-        discard(now, half)
-        now, done = after, done + 1
-        if done == rounds or _settled(now):
+        after = _round(now)
+        discard(now)
+        now = after
+        if _settled(now):
             break
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    if done == rounds:  # the least parent of each, and no parent that has one
-        tops = tops.join(now.select(F.col("a").alias("node")), "node", "left_anti")
-        return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(tops)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -12,7 +12,6 @@ not change with the input's size.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, scratch, stage
-from .components import connected_components
+from .components import connected_components, contracted, parts
 
 #: Buckets up to FEW items are ordered in every tree, larger ones in the first FAR trees; above DENSE items a
 #: bucket is cut at a deeper prefix before it is sorted.
@@ -76,15 +75,14 @@ def _settled(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fits = 100 * F.least("n", "o.n") >= percent * F.greatest("n", "o.n")
     tested = stage(near.filter(fits).select(F.least("item", "o.item").alias("a"), F.greatest("item", "o.item").alias("b")).distinct(), "pairs")
     links = stage(_verified(tested, sets, percent), "links")
-    first = stage(connected_components(links, "a", "b", rounds=2), "parts")  # parts of a component will do here
+    edges = contracted(links, rounds=2)  # parts of a component will do here
 
-    placed = rows.select("bucket", "item", "n", "c").join(first.hint("merge"), F.col("item") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "item"))
+    placed = rows.select("bucket", "item", "n", "c").join(parts(edges).hint("merge"), F.col("item") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "item"))
     placed = stage(placed.select("bucket", "item", "n", "c", "comp"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("total")).filter(F.col("lo") != F.col("hi")).select("bucket", "total")
     placed = stage(placed.join(stage(mixed, "mixed").hint("merge"), "bucket"), "unsettled")
     more = _verified(_across(placed.filter(F.col("c") <= FEW), sets, tested, percent), sets, percent).unionByName(_by_blocks(placed.filter(F.col("c") > FEW), sets, percent))
-    more = stage(more, "more")
-    return stage(connected_components(reduce(DataFrame.unionByName, [links, more]), "a", "b"), "components")
+    return stage(connected_components(edges.unionByName(more), "a", "b"), "components")
 
 
 def _across(placed: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
