@@ -43,10 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes that occur elsewhere; the documents stay, with ``n_chars`` of what is left."""
+    """Cut strings of 400 bytes or 50 words that occur elsewhere; the documents stay, with ``n_chars`` of what is left."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     carried = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
-    cut = suffixes.remove_repeats(docs.select("doc_id", "text", *carried), texts=True, keep=("row",) * bool(others))
+    cut = suffixes.remove_repeats(docs.select("doc_id", "text", *carried), texts=True, keep=("row",) * bool(others), words=50)
     back = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.select(*[(back[c] if c in back else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
