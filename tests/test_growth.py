@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions.hashes import first_words
-from attestry.operators import metrics
+from attestry.operators import chain, facts, metrics
 
 
 def test_first_words():
@@ -34,3 +34,43 @@ def test_bootstrap_by_hand(spark):
         pos, neg = (np.array([x if p is want else 0 for x, (_, p, _) in zip(w, rows, strict=True)]) for want in (True, False))
         wins = sum(p * ((neg * (s < x)).sum() + (neg * (s == x)).sum() / 2) for p, x in zip(pos, s, strict=True) if p)
         assert math.isclose(got[n], wins / pos.sum() / neg.sum())
+
+
+def test_chain_in_pieces(spark, monkeypatch):
+    """The log of many pieces is that of one task, and no task puts more than a piece in order."""
+    rng = random.Random(2)
+    rows = [(i, f"k{i % 7}", rng.choice(["a", None]), f"t{i % 3}", f"p{rng.random()}") for i in rng.sample(range(3000), 3000)]
+    d = spark.createDataFrame(rows, "n int, kind string, fact_id string, ts string, payload string").repartition(5)
+    whole = sorted(map(tuple, chain.build(d, ["n", "fact_id"], "1" * 64, 9).collect()))
+    monkeypatch.setattr(chain, "PIECE", 700)
+    log = chain.build(d, ["n", "fact_id"], "1" * 64, 9)
+    assert log.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).head()[0] < 2000
+    assert sorted(map(tuple, log.collect())) == whole and whole[0][5] == "1" * 64 and len(whole) == 3000
+    assert chain.verify(chain.build(d, ["n"])).head().asDict() == {"ok": True, "events": 3000, "first_bad": None, "reason": ""}
+
+
+def test_writes_stream(spark):
+    """Subjects over many batches fold as one by one, and no group becomes a frame of its own."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["p", "q", "", None]), rng.choice("ab"), rng.choice(["verified", "verified", "unverified"]), f"2024-01-{rng.randrange(1, 9):02d}") for i in range(400)]
+    d = spark.createDataFrame(rows, "arrival long, subject string, norm string, status string, valid_from string")
+    held, want = {}, {}
+    for a, subject, norm, status, since in rows:
+        g = (subject, subject or norm)
+        now = held.get(g)
+        want[a] = [status, None, None]
+        if status == "verified" and now and now[0] == norm:
+            want[a][1] = now[2]
+        elif status == "verified" and now and now[1] > since:
+            want[a] = ["superseded", None, now[2]]
+        elif status == "verified":
+            if now:
+                want[now[2]][0], want[now[2]][2] = "superseded", a
+            held[g] = (norm, since, a)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = facts.apply_writes(d)
+        assert {r.arrival: [r.status, r.duplicate_of, r.superseded_by] for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
