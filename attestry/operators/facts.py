@@ -7,6 +7,7 @@ import hmac
 import secrets
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,37 +51,58 @@ def apply_writes(rows: DataFrame) -> DataFrame:
 
     Adds ``duplicate_of`` and ``superseded_by`` (arrivals) and the final ``status``. What is a duplicate
     depends on what was current at the time, so each subject is one ordered fold. Facts without a subject
-    fold by their words instead, which cannot be superseded and only meet equal ones.
+    fold by their words instead, which cannot be superseded and only meet equal ones. Subjects stream through a
+    task one after the other; it holds one fact that a later one may still supersede.
     """
     names = [c for c in rows.columns if c not in ("duplicate_of", "superseded_by")]
-    d = rows.select(*names).withColumn("_g", F.when(F.coalesce("subject", F.lit("")) != "", F.concat(F.lit("s:"), F.col("subject"))).otherwise(F.concat(F.lit("n:"), F.coalesce("subject", F.lit("-")), F.lit(":"), F.col("norm"))))
-    small = d.select("_g", "arrival", "norm", "status", "valid_from")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrival")
-        named = group["_g"].iloc[0].startswith("s:")
-        current: dict[str, tuple] = {}
-        out = {}
-        for r in group.itertuples(index=False):
-            a, norm, status, since = r.arrival, r.norm, r.status, r.valid_from
-            same, by = None, None
-            if status == "verified":
-                if norm in current:
-                    same = current[norm][0]
-                elif named and current and next(iter(current.values()))[1] > since:
-                    by, status = next(iter(current.values()))[0], "superseded"
-                else:
-                    if named:
-                        for old, _ in current.values():
-                            out[old] = (out[old][0], "superseded", out[old][2], a)
-                        current.clear()
-                    current[norm] = (a, since)
-            out[a] = (a, status, same, by)
-        columns = list(zip(*out.values(), strict=True))  # built one by one: a frame of rows would turn them into floats
-        return pd.DataFrame({"arrival": columns[0], "status": columns[1], "duplicate_of": pd.array(columns[2], "Int64"), "superseded_by": pd.array(columns[3], "Int64")})
-
-    done = small.select("_g", "arrival", "norm", "status", "valid_from").groupBy("_g").applyInPandas(fold, "arrival long, status string, duplicate_of long, superseded_by long")
-    return d.drop("_g", "status").join(done, "arrival")
+    names = ["arrival", *(c for c in names if c not in ("arrival", "status")), "status"]
+    group = F.when(F.coalesce("subject", F.lit("")) != "", F.concat(F.lit("s:"), F.col("subject"))).otherwise(F.concat(F.lit("n:"), F.coalesce("subject", F.lit("-")), F.lit(":"), F.col("norm")))
+    d = rows.select(*names, group.alias("_g"))
+    at = {c: i for i, c in enumerate(d.columns)}
+
+    def written(batch, keep, status, same, by):
+        kept = [batch.column(at[c]).take(keep) for c in names[:-1]]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(status, pa.string()), pa.array(same, pa.int64()), pa.array(by, pa.int64())], names=[*names, "duplicate_of", "superseded_by"])
+
+    def settled(row, by):
+        return written(row, pa.array([0]), ["verified" if by is None else "superseded"], [None], [by])
+
+    def fold(batches):
+        group, current, carried = object(), None, None  # current: norm, valid_from and arrival; carried: its row, from an earlier batch
+        for batch in batches:
+            g, arrival, norm, status, since = (batch.column(at[c]).to_pylist() for c in ("_g", "arrival", "norm", "status", "valid_from"))
+            same, by, mine = [None] * len(g), [None] * len(g), -1
+            for i in range(len(g)):
+                if g[i] != group:
+                    group, current = g[i], None
+                    if carried is not None:
+                        yield settled(carried, None)
+                        carried = None
+                if status[i] != "verified":
+                    continue
+                if current is not None and current[0] == norm[i]:
+                    same[i] = current[2]
+                    continue
+                if current is not None and current[1] > since[i]:
+                    by[i], status[i] = current[2], "superseded"
+                    continue
+                if carried is not None:
+                    yield settled(carried, arrival[i])
+                    carried = None
+                elif current is not None:
+                    by[mine], status[mine] = arrival[i], "superseded"
+                current, mine = (norm[i], since[i], arrival[i]), i
+            keep = list(range(len(g)))
+            if current is not None and carried is None:  # a later batch may supersede it
+                keep.remove(mine)
+                carried = batch.take(pa.array([mine]))
+            if keep:
+                yield written(batch, pa.array(keep), [status[i] for i in keep], [same[i] for i in keep], [by[i] for i in keep])
+        if carried is not None:
+            yield settled(carried, None)
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in d.select(*names).dtypes) + ", duplicate_of long, superseded_by long"
+    return d.repartition("_g").sortWithinPartitions("_g", "arrival").mapInArrow(fold, schema)
 
 
 def duplicates(facts: DataFrame, text: str, subject: str, key: str) -> DataFrame:
